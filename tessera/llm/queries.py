@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import bpe, line_dedup, packing, simhash, token_counts
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_token_counts": token_counts.op2_token_counts,
+        "op5_packing": packing.op5_packing,
+        "op6_bpe": bpe.op6_bpe,
+        "op8_simhash": simhash.op8_simhash,
+    }
 
 
 def oracle_sql() -> dict:
