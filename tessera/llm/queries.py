@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, embedding_dedup, language, line_dedup, packing, quality, simhash, token_counts
+from . import ann, bpe, embedding_dedup, language, licenses, line_dedup, packing, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_ann": ann.op7_ann,
         "op8_simhash": simhash.op8_simhash,
         "op9_quality": quality.op9_quality,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 

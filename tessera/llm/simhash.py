@@ -30,8 +30,11 @@ from .common import binaries, components, forest, read, runs_of, split_hot, whol
 
 #: Rows of a key's group that are compared in one task; a larger group is cut into blocks, every two of which meet.
 BLOCK_ROWS = 2048
+#: What a key costs to write and move, in comparisons; and the highest threshold of a part that is considered.
+KEY_COST = 200.0
+MOST_FLIPS = 3
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -47,9 +50,25 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [xx(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
+def _mixed(h: np.ndarray, stream: int) -> np.ndarray:
+    """The hashes themselves for stream 0; else others made of them by a mixing function."""
+    if not stream:
+        return h
+    h = h + np.uint64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
     """uint64 for each text."""
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return long_fingerprints(texts, words, 1)[0][:, 0]
+
+
+def long_fingerprints(texts: list[bytes], words: int, streams: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, a fingerprint of 64 bits for each stream of hashes, and how many shingles it has."""
+    out = np.zeros((len(texts), streams), dtype=np.uint64)
+    count = np.zeros(len(texts), dtype=np.int64)
     i = 0
     while i < len(texts):  # some texts at once, as many as have about a million hashes
         rows: list[np.ndarray] = []
@@ -60,15 +79,17 @@ def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
             i += 1
         sizes = np.array([len(r) for r in rows])
         hashes = np.concatenate(rows)
+        count[first:i] = sizes
         at = np.repeat(np.arange(len(rows), dtype=np.int64) * 256, sizes)
-        got = np.zeros(len(rows), dtype=np.uint64)
-        for k in range(8):
-            byte = ((hashes >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
-            ones = np.bincount(at + byte, minlength=len(rows) * 256).reshape(-1, 256).astype(np.float64) @ _BITS.astype(np.float64)
-            on = ones * 2 > sizes[:, None]
-            got |= (on.astype(np.uint64) << (np.arange(8, dtype=np.uint64) + np.uint64(8 * k))).sum(axis=1, dtype=np.uint64)
-        out[first:i] = got
-    return out
+        for s in range(streams):
+            own, got = _mixed(hashes, s), np.zeros(len(rows), dtype=np.uint64)
+            for k in range(8):
+                byte = ((own >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
+                ones = np.bincount(at + byte, minlength=len(rows) * 256).reshape(-1, 256).astype(np.float64) @ _BITS
+                on = ones * 2 > sizes[:, None]
+                got |= (on.astype(np.uint64) << (np.arange(8, dtype=np.uint64) + np.uint64(8 * k))).sum(axis=1, dtype=np.uint64)
+            out[first:i, s] = got
+    return out, count
 
 
 def _fingerprint(names: list[str], words: int):
@@ -127,8 +148,8 @@ def parts_of(n: int, gram: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def _estimates(n: int, gram: np.ndarray, part: list[int], most: int) -> list[float]:
-    """For thresholds 0 to most: pairs within it on the part, by the bits' frequencies, and the keys to write."""
+def _estimates(n: int, gram: np.ndarray, part: list[int], most: int, pairs: float, copies: int) -> list[float]:
+    """For thresholds 0 to most: the pairs within it on the part, by the bits' frequencies, and the keys to write."""
     p = np.diag(gram)[part] / max(n, 1)
     dist = np.array([1.0])
     for q in 2 * p * (1 - p):
@@ -137,12 +158,13 @@ def _estimates(n: int, gram: np.ndarray, part: list[int], most: int) -> list[flo
     for t in range(most + 1):
         keys += probes
         probes *= (len(part) - t) / (t + 1)
-        out.append(n * n / 2 * float(dist[: t + 1].sum()) + 8.0 * n * keys)
+        out.append(pairs * float(dist[: t + 1].sum()) + KEY_COST * copies * n * keys)
     return out
 
 
 def thresholds(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """The thresholds, -1 or more each, of the given sum with the least cost; costs[p][t] for t from 0."""
+    """The thresholds, -1 or more each, of the given sum with the least cost; costs[p][t] for t from 0. Infinite cost where
+    no thresholds have that sum."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -152,24 +174,27 @@ def thresholds(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
                 if s + t not in step or new < step[s + t]:
                     step[s + t] = new
         best = step
-    return best[total]
+    return best.get(total, (float("inf"), []))
 
 
-def plan(n: int, gram: np.ndarray, max_bits: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the parts to probe, of all numbers of parts the cheapest."""
+def plan(n: int, gram: np.ndarray, max_bits: int, pairs: float | None = None, copies: int = 1) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the parts to probe, of all numbers of parts the cheapest. pairs: how many there are to tell
+    apart, where other keys already part some; copies: how often each fingerprint is keyed for those."""
     options = []
     for m in range(1, max_bits + 3):
         parts = parts_of(n, gram, m)
-        cost, ts = thresholds([_estimates(n, gram, p, max_bits) for p in parts], max_bits - m + 1)
-        options.append((cost, [(p, t) for p, t in zip(parts, ts, strict=True) if t >= 0]))
+        most = min(max_bits, MOST_FLIPS)
+        cost, ts = thresholds([_estimates(n, gram, p, most, n * n / 2 if pairs is None else pairs, copies) for p in parts], max_bits - m + 1)
+        if np.isfinite(cost):
+            options.append((cost, [(p, t) for p, t in zip(parts, ts, strict=True) if t >= 0]))
     return min(options, key=lambda o: o[0])[1]
 
 
 # --- probe and verify ---------------------------------------------------------------------------------------------------
 
 
-def keyed(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """part, key, own, fp: a row for each probed part and each neighbour within its threshold."""
+def keyed(fps: DataFrame, parts: list[tuple[list[int], int]], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """part, key, own, fp and more columns: a row for each probed part and each neighbour within its threshold."""
     signed = lambda bits: int(np.array([sum(1 << b for b in bits)], dtype=np.uint64).view(np.int64)[0])
     rows = []
     for k, (bits, t) in enumerate(parts):
@@ -178,7 +203,7 @@ def keyed(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
         for f in flips:
             key = F.col("fp").bitwiseAND(mask).bitwiseXOR(F.lit(f))
             rows.append(F.struct(F.lit(k).alias("part"), key.alias("key"), F.lit(f == 0).alias("own")))
-    return fps.select("fp", F.explode(F.array(*rows)).alias("r")).select("r.part", "r.key", "r.own", "fp")
+    return fps.select("fp", *more, F.explode(F.array(*rows)).alias("r")).select("r.part", "r.key", "r.own", "fp", *more)
 
 
 def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,6 +277,105 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, block
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- near-dedup by similarity ---------------------------------------------------------------------------------------------
+
+#: Streams of 64 bits beside the probed one that candidates are verified on.
+VERIFY_STREAMS = 4
+
+
+def bits_at(similarity: float, bits: int, errors: float = 1.5) -> int:
+    """How many of so many bits differ between shingle sequences of this resemblance (of multisets of equal size), and so many
+    standard errors more, so that pairs which have it exactly aren't lost to chance."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + errors * np.sqrt(bits * p * (1 - p)))
+
+
+def _items(words: int):
+    streams = 1 + VERIFY_STREAMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                fps, count = long_fingerprints(binaries(batch.column("text")), words, streams)
+                cols = [pa.array(fps[:, s].view(np.int64)) for s in range(streams)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), *cols], names=["doc_id", "n", "fp", *(f"e{s}" for s in range(1, streams))])
+
+    return run
+
+
+def _similar(max_bits: int, max_all: int):
+    names = ["grp", "part", "key", "bi", "bj"]
+    extra = [f"e{s}" for s in range(1, 1 + VERIFY_STREAMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, names, 50_000):
+            cols = [table.column(c).to_numpy() for c in names]
+            fps = [table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("fp", *extra)]
+            node, own, low, blk = (table.column(c).to_numpy() for c in ("node", "own", "low", "blk"))
+            bounds = runs_of(cols)
+            found = []
+
+            def meet(left: np.ndarray, right: np.ndarray) -> None:
+                if not len(left) or not len(right):
+                    return
+                i, j = _near(fps[0][left], fps[0][right], max_bits)
+                i, j = left[i], right[j]
+                ok = (low[i] | low[j]) & (node[i] != node[j])
+                i, j = i[ok], j[ok]
+                total = sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int64) for f in fps)
+                ok = total <= max_all
+                found.append(forest(node[i[ok]], node[j[ok]]))
+
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                rows, bi, bj = np.arange(s, e), cols[3][s], cols[4][s]
+                a, b = rows[blk[s:e] == bi], rows[blk[s:e] == bj]
+                meet(a[own[a]], b)
+                if bi != bj:
+                    meet(b[own[b]], a[~own[a]])
+            if found:
+                a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of docs, all columns, that are the first (by doc_id) of their group of near copies.
+
+    Near copies: resemblance of their shingles of `words` words (repeats included) of `similarity` or more, as estimated on
+    320 fingerprint bits; 64 of them are probed. Resemblance also bounds how far the numbers of shingles lie apart, so only
+    texts in the same or the next class of lengths meet. Texts without words are copies of each other. Rows with a null
+    doc_id stay; of rows that repeat a doc_id which stays, one does."""
+    spark = docs.sparkSession
+    extra = [f"e{s}" for s in range(1, 1 + VERIFY_STREAMS)]
+    kind = "doc_id long, n long, fp long, " + ", ".join(f"{e} long" for e in extra)
+    marked, _ = written(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_items(words), kind))
+    # the length class: texts whose numbers of shingles differ by the factor or less are at most one class apart
+    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(-np.log(similarity)) + 1e-9).cast("int")
+    marked = marked.withColumn("cls", size)
+    items, _ = written(marked.groupBy("cls", "fp", *extra).agg(F.min("doc_id").alias("node")))
+    n, gram = bit_statistics(items)
+    per = {r["cls"]: r["n"] for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length class
+    pairs = sum(k * (k / 2 + per.get(c + 1, 0)) for c, k in per.items())
+    max_bits, max_all = bits_at(similarity, 64), bits_at(similarity, 64 * (1 + VERIFY_STREAMS))
+    both = items.withColumn("grp", F.explode(F.array(F.col("cls") - 1, F.col("cls")))).withColumn("low", F.col("grp") == F.col("cls"))
+    order = ["grp", "part", "key", "bi", "bj"]
+    parts = plan(n, gram, max_bits, pairs, 2)
+    keys = split_hot(keyed(both, parts, ["grp", "low", "node", *extra]), ["grp", "part", "key"], "node", block_rows)
+    rows = keys.select(*order, "blk", "own", "low", "node", "fp", *extra).repartition(*order).sortWithinPartitions(*order)
+    roots = components(rows.mapInArrow(_similar(max_bits, max_all), "a long, b long"))
+    # all ids but the first of their item, and the firsts of items whose root is another
+    gone = marked.join(items, ["cls", "fp", *extra]).where(F.col("doc_id") != F.col("node")).select("doc_id").union(roots.select("node"))
+    gone, _ = written(gone.distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated, _ = written(marked.groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_components(read(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
