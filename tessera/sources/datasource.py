@@ -1,7 +1,8 @@
 """`format("tensorfile")`: tensor files as DataFrames, and DataFrames as tensor files.
 
 Two relations, because a Python source has no column pruning: `parts` (the default) is metadata only and reads footers and
-manifests; `blobs` has the content too. Equality on name is pushed to the reader. Writing makes a data shard for each task and,
+manifests; `blobs` has the content too. The option `name` reads one object only; it is an option and no pushed filter, because Spark keeps a Python
+reader's pushed filters with the DataFrame, where they would hold for its later queries too. Writing makes a data shard for each task and,
 on commit, a root whose manifest refers to them by name, size and digest; until the root is moved into place nothing is
 published, and shards of failed attempts are removed.
 
@@ -15,7 +16,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..model import InvalidInput, NotFound, Rejected, Unsupported
@@ -42,13 +43,7 @@ class _Reader(DataSourceReader):
         self.files, self.relation = [f for p in options["path"].split(",") for f in _files(p)], relation
         if not self.files:
             raise NotFound(options["path"])
-        self.strict, self.only = options.get("mode", "strict") == "strict", None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",):
-                self.only = f.value
-            yield f
+        self.strict, self.only = options.get("mode", "strict") == "strict", options.get("name")
 
     def partitions(self) -> Sequence[InputPartition]:
         return [_File(f) for f in self.files]
@@ -63,8 +58,7 @@ class _Reader(DataSourceReader):
         except (Rejected, Unsupported, InvalidInput, NotFound) as e:
             if self.strict:
                 raise
-            nulls = (None,) * (13 if self.relation == "parts" else 6)
-            yield (path, *nulls[: (14 if self.relation == "parts" else 6)], getattr(e, "rule", type(e).__name__)) if self.relation == "blobs" else (path, None, *nulls, getattr(e, "rule", type(e).__name__))
+            yield (path, *(None,) * (14 if self.relation == "parts" else 6), getattr(e, "rule", type(e).__name__))
             return
         names = [self.only] if self.only is not None and self.only in source else [] if self.only is not None else source.names()
         for name in names:
@@ -176,5 +170,4 @@ class TensorFile(DataSource):
 
 
 def register(spark) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TensorFile)
