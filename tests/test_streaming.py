@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tessera.streaming import chunks, windows
@@ -19,7 +21,15 @@ def test_sink(spark, tmp_path):
     schema = "name string, part string, seq long, declared long, content binary"
     spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = {r["name"]: r for r in run(chunks.sink(stream), "sunk").collect()}
+    # a query with timeouts never runs out of batches, so it is stopped when its rows are there
+    q = chunks.sink(stream).writeStream.format("memory").queryName("sunk").outputMode("append").start()
+    try:
+        end = time.time() + 120
+        while spark.table("sunk").count() < 2 and q.isActive and time.time() < end:
+            time.sleep(0.5)
+        got = {r["name"]: r for r in spark.table("sunk").collect()}
+    finally:
+        q.stop()
     assert got["a"]["status"] == "complete" and got["a"]["digest"].endswith("bef57ec7f53a6d40beb640a780a639c83bc29ac8a9816f1fc6c5c6dcd93c4721")
     assert got["b"]["status"] == "overrun" and "c" not in got  # c still waits
 
