@@ -283,7 +283,7 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, block
 VERIFY_STREAMS = 4
 
 
-def bits_at(similarity: float, bits: int, errors: float = 1.5) -> int:
+def bits_at(similarity: float, bits: int, errors: float) -> int:
     """How many of so many bits differ between shingle sequences of this resemblance (of multisets of equal size), and so many
     standard errors more, so that pairs which have it exactly aren't lost to chance."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -340,7 +340,7 @@ def _similar(max_bits: int, max_all: int):
     return run
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 2 * BLOCK_ROWS) -> DataFrame:
     """The rows of docs, all columns, that are the first (by doc_id) of their group of near copies.
 
     Near copies: resemblance of their shingles of `words` words (repeats included) of `similarity` or more, as estimated on
@@ -358,7 +358,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_r
     n, gram = bit_statistics(items)
     per = {r["cls"]: r["n"] for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length class
     pairs = sum(k * (k / 2 + per.get(c + 1, 0)) for c, k in per.items())
-    max_bits, max_all = bits_at(similarity, 64), bits_at(similarity, 64 * (1 + VERIFY_STREAMS))
+    max_bits, max_all = bits_at(similarity, 64, 2.0), bits_at(similarity, 64 * (1 + VERIFY_STREAMS), 2.75)
     both = items.withColumn("grp", F.explode(F.array(F.col("cls") - 1, F.col("cls")))).withColumn("low", F.col("grp") == F.col("cls"))
     order = ["grp", "part", "key", "bi", "bj"]
     parts = plan(n, gram, max_bits, pairs, 2)
