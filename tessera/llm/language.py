@@ -93,7 +93,7 @@ class Machines:
         for a, b in self.pairs:
             rows = (names == self.names[a]) | (names == self.names[b])
             fitted.append(svm(x[rows], np.where(names[rows] == self.names[a], 1.0, -1.0)))
-        self.w = np.array([w for w, _, _ in fitted]).reshape(len(fitted), -1)
+        self.w = np.array([w for w, _, _ in fitted]).reshape(len(fitted), x.shape[1])
         self.b = np.array([b for _, b, _ in fitted])
         self.usual = np.array([u for _, _, u in fitted])
 
