@@ -72,7 +72,7 @@ def _keyed(tables: int, hashes: int, probes: int, query_every: int):
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 batch = whole.slice(s, 500)
-                ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+                ids = batch.column("vec_id").fill_null(0).to_numpy(zero_copy_only=False)
                 known = batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
                 _, by = usable(batch.column("embedding"))
                 for d, (rows, x) in by.items():
@@ -85,7 +85,7 @@ def _keyed(tables: int, hashes: int, probes: int, query_every: int):
                     for t in range(tables):
                         base = (d << 8 | t) << 32  # no bucket is shared by lengths or tables
                         home = nearest_axes(unit, t, hashes, 1)[:, 0]
-                        probed = nearest_axes(unit[asks], t, hashes, probes)
+                        probed = nearest_axes(unit[asks], t, hashes, probes) if len(asks) else np.zeros((0, 1), np.int64)
                         key = np.concatenate([home, probed.ravel()]) + base
                         who = np.concatenate([np.arange(len(rows)), np.repeat(asks, probed.shape[1])])
                         query = np.arange(len(who)) >= len(rows)
