@@ -12,7 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that goes to a Python worker; a worker holds a few such batches, whatever the length of texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to ours; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -28,6 +40,7 @@ def scratch_root(spark: SparkSession) -> str:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, which cuts its lineage, and the table's path."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
