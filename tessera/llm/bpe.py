@@ -19,6 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import binaries, read
 
 #: The pool of segments, and the kept chunks, start anew beyond so many entries, ids or bytes.
-POOL_SEGMENTS = 800_000
-POOL_IDS = 8_000_000
-CHUNK_BYTES = 24_000_000
+POOL_SEGMENTS = 500_000
+POOL_IDS = 5_000_000
+CHUNK_BYTES = 8_000_000
 
 _AGREE = re.compile(r"(?<=\S)(?= )")
 _SPACES = re.compile(r"\s ")
@@ -54,7 +55,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         model, symbols = spec["model"], byte_symbols()
@@ -66,16 +66,22 @@ class Encoder:
         ids = [ranks[m] for m in merged]
         pre = spec["pre_tokenizer"]
         ranked = ids == sorted(ids) and spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
-        self.fast = None
+        self.path, self.fast = path, None
         if ranked:  # ids follow the merges' order, so merging by rank is the same thing
             import public_tokenizers
 
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
         self.marks = tuple(self.specials)
-        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+
+    @cached_property
+    def exact(self):
+        """The library's own tokenizer, for files whose ids don't follow their merges."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
     def encode(self, text: str) -> list[int]:
         if self.fast is None:
@@ -84,8 +90,28 @@ class Encoder:
             return self.fast.encode(text, allowed_special="all")
         return self.fast.encode_ordinary(text)
 
+    @cached_property
+    def table(self) -> list[bytes]:
+        return _table(self.bytes_of)
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace").encode()
+        return decoded(self.table, ids)
+
+
+def _table(bytes_of: dict[int, bytes]) -> list[bytes]:
+    return [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+
+
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id of a tokenizer file, without anything that encoding needs."""
+    spec, symbols = json.load(open(path, encoding="utf-8")), byte_symbols()
+    specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    plain = {i: bytes(symbols[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in specials}
+    return _table(plain | {i: t.encode() for t, i in specials.items()})
+
+
+def decoded(table: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").encode()
 
 
 class Pool(dict):
@@ -215,6 +241,12 @@ class Chunks:
         self.kept[data] = got
         return got
 
+    def clear(self) -> None:
+        """What a task leaves behind in a worker that later stages use too."""
+        self.kept.clear()
+        self.size = 0
+        self.own.clear()
+
     def _window(self, text: str) -> np.ndarray:
         return self.own.gather([self.own.spaced[text[1:]] if text[0] == " " else self.own.bare[text]])[0]
 
@@ -255,17 +287,18 @@ def _encode(file: str, chunk_bits: int):
                 part = batch.slice(s, 1000)
                 ids = [own.encode(t) for t in binaries(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        own.clear()
 
     return run
 
 
 def _decode(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segments(tokenizer_path(file)).encoder
+        table = byte_table(tokenizer_path(file))
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
-                texts = [own.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in part.column("ids").to_pylist()]
+                texts = [decoded(table, np.frombuffer(x or b"", "<u4").tolist()) for x in part.column("ids").to_pylist()]
                 cols = [part.column(n) for n in part.schema.names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary()).cast(pa.string())], names=[*part.schema.names, "decoded"])
 

@@ -58,6 +58,7 @@ def _pieces(file: str, window: int, granule: int, end_id: int):
                         numbers[length] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "number"])
+        own.clear()
 
     return run
 
