@@ -31,10 +31,10 @@ from .common import read
 FILE = "piece_bpe_32k.model"
 #: Tokens beyond which a document is over the limit.
 LIMIT = 4096
-#: States and character classes of the compiled table; with more states it starts anew, texts with more classes are read by
-#: the library itself.
-MAX_STATES = 150_000
-MAX_CLASSES = 256
+#: Character classes of the compiled table, and its entries (8 bytes each). With more entries it starts anew; a batch whose
+#: texts would bring more classes than that to a worker is read by the library itself.
+MAX_CLASSES = 2048
+MAX_ENTRIES = 1 << 24
 #: Below a trie node with up to so many pieces, last tokens are told apart only by which of these may follow.
 FEW_PIECES = 24
 
@@ -85,10 +85,10 @@ class Transducer:
     # are alike in that. START: the count stands at a reset; WAIT, WAIT_IN: a chunk's start, before and after a character
     # other than a space. Table entries hold the next state's row and, in the low six bits, the emitted count plus 32.
     def clear(self) -> None:
-        self.width = 128 if len(self.chars) <= 128 else MAX_CLASSES
+        self.width = max(128, 1 << (len(self.chars) - 1).bit_length())
         self.states: list[tuple | None] = []
         self.index: dict[tuple, int] = {}
-        self.table = np.full((1024, self.width), -1, dtype=np.int64)
+        self.table = np.full((256, self.width), -1, dtype=np.int64)
         self.start = self._state(((0, -1, 0),))
         self.word = self._state(self._read(((0, -1, 0),), _SPACE)[0])
         self.wait, self.wait_in = self._add(None), self._add(None)
@@ -253,7 +253,7 @@ class Transducer:
         """Tokens of each text."""
         if not self.sound:
             return np.array([len(x) for x in self.lib.encode(texts, num_threads=1)], dtype=np.int64)
-        if len(self.states) > MAX_STATES:
+        if len(self.states) * self.width > MAX_ENTRIES:
             self.clear()
         joined = "".join(" " + t + "\0" if t else "\0" for t in texts)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

@@ -47,8 +47,12 @@ def test_counts_after_the_table_is_dropped():
 
 def test_counts_with_very_many_characters():
     own = token_counts.Transducer(__import__("public_tokenizers").path(token_counts.FILE))
-    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 3000)) + " " + "".join(map(chr, range(0x400, 0x500)))
-    assert own.counts([many, "and so on"]).tolist() == [len(x) for x in own.lib.encode([many, "and so on"])]
+    wide = ["plain text first", "".join(map(chr, range(0x370, 0x500))) * 3, "and so on"]  # the table grows wider
+    assert own.counts(wide[:1])[0] > 0 and own.width == 128
+    assert own.counts(wide).tolist() == [len(x) for x in own.lib.encode(wide)] and own.width > 128
+    many = ["".join(chr(c) for c in range(0x3000, 0xD000)), "and so on"]  # more characters than the table holds
+    assert own.counts(many).tolist() == [len(x) for x in own.lib.encode(many)]
+    assert own.counts(wide).tolist() == [len(x) for x in own.lib.encode(wide)]
 
 
 def test_count_edges(docs):
