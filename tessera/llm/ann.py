@@ -94,8 +94,22 @@ def _keyed(tables: int, hashes: int, probes: int, query_every: int):
     return run
 
 
+def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best (query, id, score) of each query, each id once."""
+    q, v, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort([-score, v, q])
+    q, v, score = q[order], v[order], score[order]
+    first = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))[: len(q)]
+    q, v, score = q[first], v[first], score[first]
+    order = np.lexsort([v, -score, q])
+    q, v, score = q[order], v[order], score[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return [(q[best], v[best], score[best])]
+
+
 def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # a task's best so far: k rows at most for each query in it
         for table in whole_groups(batches, ["key", "part"], 20_000):
             query, ids = table.column("query").to_numpy(), table.column("vec_id").to_numpy()
             bounds = runs_of([table.column("key").to_numpy(), table.column("part").to_numpy()])
@@ -131,16 +145,10 @@ def _searched(k: int):
                     best = np.arange(len(i)) - np.searchsorted(i, i) < k
                     out.append((ids[some][i[best]], ids[have][j[best]], score[best]))
             if out:
-                q, v, sc = (np.concatenate(c) for c in zip(*out, strict=True))
-                order = np.lexsort([v, q])
-                q, v, sc = q[order], v[order], sc[order]
-                new = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))
-                sc = np.maximum.reduceat(sc, np.flatnonzero(new))
-                q, v = q[new], v[new]
-                order = np.lexsort([v, -sc, q])
-                q, v, sc = q[order], v[order], sc[order]
-                best = np.arange(len(q)) - np.searchsorted(q, q) < k
-                yield pa.RecordBatch.from_arrays([pa.array(q[best]), pa.array(v[best]), pa.array(sc[best])], names=["query_id", "vec_id", "score"])
+                held = best_of([*held, *out], k)
+        if held:
+            q, v, sc = held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(sc)], names=["query_id", "vec_id", "score"])
 
     return run
 
