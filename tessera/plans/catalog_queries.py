@@ -371,14 +371,14 @@ def overlay(spark, folder):
     return catalog.overlay(base, local)
 
 
-_SIDES = """l AS (SELECT doc_id, 'doc/' || doc_id AS name, '[' || length(coalesce(text, '')) || ']' AS shape, 'dense' AS layout, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 7 <> 0),
-r AS (SELECT doc_id, 'doc/' || doc_id AS name, '[' || (length(coalesce(text, '')) + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)) || ']' AS shape, 'dense' AS layout, sha256(coalesce(text, '') || (CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END)) AS digest FROM documents WHERE doc_id % 11 <> 0)"""
+_SIDES = """l AS (SELECT doc_id, 'doc/' || doc_id AS name, '[' || length(coalesce(text, '')) || ']' AS shape, 'dense' AS layout, sha256(coalesce(text, '')) AS digest FROM documents WHERE source <> 'src1'),
+r AS (SELECT doc_id, 'doc/' || doc_id AS name, '[' || (length(coalesce(text, '')) + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)) || ']' AS shape, 'dense' AS layout, sha256(coalesce(text, '') || (CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END)) AS digest FROM documents WHERE source <> 'src2')"""
 
 
 @query(f"""WITH {_SIDES} SELECT name, NULL AS part, 'removed' AS change FROM l WHERE name NOT IN (SELECT name FROM r) UNION ALL SELECT name, NULL, 'added' FROM r WHERE name NOT IN (SELECT name FROM l)
 UNION ALL SELECT l.name, 'data', CASE WHEN l.shape <> r.shape THEN 'form' ELSE 'content' END FROM l JOIN r USING (name) WHERE l.shape <> r.shape OR l.digest <> r.digest""")
 def diff(spark, folder):
-    """Two versions of the documents: some are left out on either side, some reshaped, some changed."""
+    """Two versions of the documents: either lacks a source, some are reshaped, some changed."""
     src = tables.document_blobs(spark, folder).withColumn("n", F.length(F.col("content").cast("string")))
 
     def side(df, more, suffix):
@@ -386,8 +386,8 @@ def diff(spark, folder):
         return df.select("name", "part", shape, F.lit("dense").alias("layout"), F.sha2(F.concat("content", suffix.cast("binary")), 256).alias("digest"))
 
     k = F.col("doc_id")
-    left = side(src.where(k % 7 != 0), F.lit(0), F.lit(""))
-    right = side(src.where(k % 11 != 0), F.when(k % 5 == 0, 1).otherwise(0), F.when(k % 3 == 0, F.lit("?")).otherwise(F.lit("")))
+    left = side(src.where("source <> 'src1'"), F.lit(0), F.lit(""))
+    right = side(src.where("source <> 'src2'"), F.when(k % 5 == 0, 1).otherwise(0), F.when(k % 3 == 0, F.lit("?")).otherwise(F.lit("")))
     return catalog.diff(left, right)
 
 
