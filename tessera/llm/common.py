@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -110,18 +110,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def block_counts(df: DataFrame, keys: list[str], limit: int, weight: Column | None = None) -> DataFrame:
+    """Adds _nb: in how many blocks of about `limit` rows (or weight) the group of keys is cut. All rows are counted."""
+    hot = df.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).where(F.col("_n") > limit)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb"))
+    return df.join(hot, keys, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+
+
+def dealt(df: DataFrame, spread: str) -> DataFrame:
+    """Deals the rows of block_counts to pairs of blocks (bi, bj) by the hash of `spread`; blk is the row's own block."""
+    out = df.withColumn("blk", F.pmod(F.xxhash64(spread), F.col("_nb")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return out.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_nb", "_o")
+
+
 def split_hot(df: DataFrame, keys: list[str], spread: str, limit: int) -> DataFrame:
     """Gives every row blocks (bi, bj) so that no group of (keys, bi, bj) has many more than two times limit rows and each
     two rows of a group meet in exactly one of them or, in one block, in (b, b). Adds blk, the row's own block.
 
     Groups within the limit have the one block (0, 0). A larger one is cut by the hash of `spread` into n blocks, and a row
     goes to the n pairs with its block. The larger groups are counted over all rows; none is capped."""
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hot = hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb"))
-    out = df.join(hot, keys, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
-    out = out.withColumn("blk", F.pmod(F.xxhash64(spread), F.col("_nb")).cast("int"))
-    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return out.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_nb", "_o")
+    return dealt(block_counts(df, keys, limit), spread)
 
 
 def components(edges: DataFrame) -> DataFrame:

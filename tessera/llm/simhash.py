@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, components, forest, read, runs_of, split_hot, whole_groups, written
+from .common import binaries, block_counts, components, dealt, forest, read, runs_of, split_hot, whole_groups, written
 
 #: Rows of a key's group that are compared in one task; a larger group is cut into blocks, every two of which meet.
 BLOCK_ROWS = 2048
@@ -65,16 +65,26 @@ def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
     return long_fingerprints(texts, words, 1)[0][:, 0]
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
+
+
 def long_fingerprints(texts: list[bytes], words: int, streams: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text, a fingerprint of 64 bits for each stream of hashes, and how many shingles it has."""
-    out = np.zeros((len(texts), streams), dtype=np.uint64)
-    count = np.zeros(len(texts), dtype=np.int64)
+    return set_fingerprints((np.array(shingle_hashes(t, words), dtype=np.uint64) for t in texts), len(texts), streams)
+
+
+def set_fingerprints(hashes_of: Iterator[np.ndarray], texts: int, streams: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the hashes of so many texts."""
+    out = np.zeros((texts, streams), dtype=np.uint64)
+    count = np.zeros(texts, dtype=np.int64)
     i = 0
-    while i < len(texts):  # some texts at once, as many as have about a million hashes
+    while i < texts:  # some texts at once, as many as have about a million hashes
         rows: list[np.ndarray] = []
         first, n = i, 0
-        while i < len(texts) and n < 1_000_000 and i - first < 2048:
-            rows.append(np.array(shingle_hashes(texts[i], words), dtype=np.uint64))
+        while i < texts and n < 1_000_000 and i - first < 2048:
+            rows.append(next(hashes_of))
             n += len(rows[-1])
             i += 1
         sizes = np.array([len(r) for r in rows])
@@ -279,26 +289,50 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, block
 
 # --- near-dedup by similarity ---------------------------------------------------------------------------------------------
 
-#: Streams of 64 bits beside the probed one that candidates are verified on.
+#: Streams of 64 bits beside the probed one that candidates are compared on.
 VERIFY_STREAMS = 4
+#: What a row adds to its shingles in the size of a block of texts that are verified.
+ROW_WEIGHT = 500
 
 
 def bits_at(similarity: float, bits: int, errors: float) -> int:
-    """How many of so many bits differ between shingle sequences of this resemblance (of multisets of equal size), and so many
-    standard errors more, so that pairs which have it exactly aren't lost to chance."""
+    """How many of so many bits differ between sets of shingles of this resemblance (of equal size; others differ in fewer),
+    and so many standard errors more, so that pairs which have it exactly aren't lost to chance."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     return int(bits * p + errors * np.sqrt(bits * p * (1 - p)))
 
 
-def _items(words: int):
+def short_of(similarity: float) -> int:
+    """Up to so many shingles in both texts together, near copies differ in one shingle at most."""
+    return int(np.ceil(2 / (1 - similarity) - 1e-9)) - 1
+
+
+def _digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def _items(words: int, short: int):
     streams = 1 + VERIFY_STREAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fps, count = long_fingerprints(binaries(batch.column("text")), words, streams)
+                node: list[int] = []
+                less: list[list[int]] = []
+                size: list[int] = []
+
+                def hashes(texts: list[bytes], node=node, less=less, size=size) -> Iterator[np.ndarray]:
+                    for t in texts:
+                        found = np.array(shingle_hashes(t, words), dtype=np.uint64)
+                        h = np.unique(found)
+                        node.append(_digest(h))
+                        size.append(len(h))
+                        less.append([_digest(np.delete(h, k)) for k in range(len(h))] if 1 < len(h) <= short else [])
+                        yield found
+
+                fps, _ = set_fingerprints(hashes(binaries(batch.column("text"))), batch.num_rows, streams)
                 cols = [pa.array(fps[:, s].view(np.int64)) for s in range(streams)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), *cols], names=["doc_id", "n", "fp", *(f"e{s}" for s in range(1, streams))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(less, pa.list_(pa.int64())), pa.array(size, pa.int64()), *cols], names=["doc_id", "node", "less", "n", "fp", *(f"e{s}" for s in range(1, streams))])
 
     return run
 
@@ -340,37 +374,113 @@ def _similar(max_bits: int, max_all: int):
     return run
 
 
+def _sets(names: list[str], words: int):
+    """names and the set of shingles, of the rows whose set is that of their node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in binaries(batch.column("text"))]
+            mine = [_digest(h) == n for h, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
+            cols = [*(batch.column(n) for n in names), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "hashes"]).filter(pa.array(mine, pa.bool_()))
+
+    return run
+
+
+def _verified(similarity: float, max_all: int, short: int):
+    names = ["root", "bi", "bj"]
+    extra = [f"e{s}" for s in range(1, 1 + VERIFY_STREAMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, names, 2000):
+            cols = [table.column(c).to_numpy() for c in names]
+            fps = np.stack([table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("fp", *extra)])
+            node, n, blk = (table.column(c).to_numpy() for c in ("node", "n", "blk"))
+            raw = table.column("hashes")
+            sets: dict[int, np.ndarray] = {}
+
+            def hashes(i: int, raw=raw, sets=sets) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = np.frombuffer(raw[i].as_py(), np.uint64)
+                return sets[i]
+
+            out: list[tuple[int, int]] = []
+            bounds = runs_of(cols)
+            for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                bi, bj = cols[1][s], cols[2][s]
+                label = np.arange(e - s)  # of what is linked so far: a pair within one needs no check
+                left = np.flatnonzero(blk[s:e] == bi)
+                right = np.flatnonzero(blk[s:e] == bj)
+                for i in left.tolist():
+                    j = right[label[right] != label[i]]
+                    if bi == bj:
+                        j = j[j > i]
+                    m = n[s + j]
+                    j = j[np.minimum(m, n[s + i]) >= similarity * np.maximum(m, n[s + i]) - 1e-9]
+                    bits = np.bitwise_count(fps[:, s + j] ^ fps[:, s + i, None]).sum(axis=0, dtype=np.int64)
+                    ok = (bits <= max_all) | (np.maximum(n[s + j], n[s + i]) <= short)
+                    j = j[ok][np.argsort(bits[ok], kind="stable")]
+                    for k in j.tolist():
+                        if label[k] == label[i]:
+                            continue
+                        shared = len(np.intersect1d(hashes(s + i), hashes(s + k), assume_unique=True))
+                        if shared / (n[s + i] + n[s + k] - shared) >= similarity:
+                            label[label == label[k]] = label[i]
+                            out.append((node[s + i], node[s + k]))
+            if out:
+                a, b = forest(*(np.array(x) for x in zip(*out, strict=True)))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 2 * BLOCK_ROWS) -> DataFrame:
     """The rows of docs, all columns, that are the first (by doc_id) of their group of near copies.
 
-    Near copies: resemblance of their shingles of `words` words (repeats included) of `similarity` or more, as estimated on
-    320 fingerprint bits; 64 of them are probed. Resemblance also bounds how far the numbers of shingles lie apart, so only
-    texts in the same or the next class of lengths meet. Texts without words are copies of each other. Rows with a null
-    doc_id stay; of rows that repeat a doc_id which stays, one does."""
-    spark = docs.sparkSession
+    Near copies: texts whose sets of shingles of `words` words have a resemblance (Jaccard) of `similarity` or more, and what
+    these link. Candidates come from 320 fingerprint bits, 64 of them probed; each component of candidates is then split by
+    links that are checked on the sets themselves, which are made again of its texts. Resemblance also bounds how far the
+    numbers of shingles lie apart, so only texts in the same or the next class of lengths meet. Texts of so few shingles that
+    one is all they may differ in meet by their sets without one. Texts without words are copies of each other. Rows with a
+    null doc_id stay; of rows that repeat a doc_id which stays, one does."""
     extra = [f"e{s}" for s in range(1, 1 + VERIFY_STREAMS)]
-    kind = "doc_id long, n long, fp long, " + ", ".join(f"{e} long" for e in extra)
-    marked, _ = written(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_items(words), kind))
+    short = short_of(similarity)
+    kind = "doc_id long, node long, less array<long>, n long, fp long, " + ", ".join(f"{e} long" for e in extra)
+    marked, _ = written(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_items(words, short), kind))
     # the length class: texts whose numbers of shingles differ by the factor or less are at most one class apart
     size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(-np.log(similarity)) + 1e-9).cast("int")
-    marked = marked.withColumn("cls", size)
-    items, _ = written(marked.groupBy("cls", "fp", *extra).agg(F.min("doc_id").alias("node")))
-    n, gram = bit_statistics(items)
+    items, _ = written(marked.withColumn("cls", size).groupBy("node", "less", "n", "cls", "fp", *extra).agg(F.min("doc_id").alias("first")))
     per = {r["cls"]: r["n"] for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length class
     pairs = sum(k * (k / 2 + per.get(c + 1, 0)) for c, k in per.items())
-    max_bits, max_all = bits_at(similarity, 64, 2.0), bits_at(similarity, 64 * (1 + VERIFY_STREAMS), 2.75)
+    max_bits, max_all = bits_at(similarity, 64, 2.0), bits_at(similarity, 64 * (1 + VERIFY_STREAMS), 4.0)
+    n, gram = bit_statistics(items)
     both = items.withColumn("grp", F.explode(F.array(F.col("cls") - 1, F.col("cls")))).withColumn("low", F.col("grp") == F.col("cls"))
     order = ["grp", "part", "key", "bi", "bj"]
     parts = plan(n, gram, max_bits, pairs, 2)
     keys = split_hot(keyed(both, parts, ["grp", "low", "node", *extra]), ["grp", "part", "key"], "node", block_rows)
     rows = keys.select(*order, "blk", "own", "low", "node", "fp", *extra).repartition(*order).sortWithinPartitions(*order)
-    roots = components(rows.mapInArrow(_similar(max_bits, max_all), "a long, b long"))
-    # all ids but the first of their item, and the firsts of items whose root is another
-    gone = marked.join(items, ["cls", "fp", *extra]).where(F.col("doc_id") != F.col("node")).select("doc_id").union(roots.select("node"))
-    gone, _ = written(gone.distinct())
+    near = rows.mapInArrow(_similar(max_bits, max_all), "a long, b long")
+    maybe = components(near.union(items.select("node", F.explode("less"))))
+    # the texts of each component of candidates, and the links among them that hold
+    maybe = maybe.union(maybe.select("root", "root").distinct())
+    facts = ["node", "root", "_nb", "n", "fp", *extra]
+    asked, _ = written(block_counts(items.join(maybe, "node"), ["root"], block_rows * ROW_WEIGHT, F.col("n") + ROW_WEIGHT).select("first", *facts))
+    repeated, _ = written(marked.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    some = not repeated.isEmpty()
+    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("first"))
+    kind = ", ".join(f"{c} {'int' if c == '_nb' else 'long'}" for c in facts) + ", hashes binary"
+    sets = texts.select("text", *facts).mapInArrow(_sets(facts, words), kind)
+    order = ["root", "bi", "bj"]
+    rows = dealt(sets.dropDuplicates(["node"]) if some else sets, "node").repartition(*order).sortWithinPartitions(*order)
+    roots = components(rows.mapInArrow(_verified(similarity, max_all, short), "a long, b long"))
+    # of each group the first row stays
+    rooted = items.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    stays = rooted.join(stays, "root").select("node", "stays")
+    gone, _ = written(marked.select("doc_id", "node").join(stays, "node").where("doc_id <> stays").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated, _ = written(marked.groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
-    if repeated.isEmpty():
+    if not some:
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

@@ -142,6 +142,23 @@ def test_near_dedup_edges(docs):
     assert simhash.near_dedup(docs([])).collect() == []
 
 
+def pair_of(rng, n, t):
+    """Two texts of n distinct five-word shingles each that differ in the last t: resemblance (n - t) / (n + t)."""
+    base = [f"v{rng.getrandbits(48)}" for _ in range(n + 4)]
+    return [" ".join(base), " ".join(base[:-t] + [f"v{rng.getrandbits(48)}" for _ in range(t)])]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_dedup_leaves_what_is_under_the_contract(docs, block):
+    """0.70, 0.78 and 0.60 of few words stay; a chain goes as far as its links hold."""
+    rng = random.Random(8)
+    texts = [t for _ in range(40) for n, t in ((85, 15), (89, 11), (4, 1)) for t in pair_of(rng, n, t)]
+    base = pair_of(rng, 90, 10)[0].split()
+    texts += [" ".join(base), " ".join([*base[:-8], *"a b c d e f g h".split()]), " ".join([*"i j k l m n o p".split(), *base[8:-8], *"a b c d e f g h".split()])]
+    got = sorted(r["doc_id"] for r in simhash.near_dedup(docs(texts), block_rows=block).collect())
+    assert got == list(range(len(texts) - 2))
+
+
 # --- embeddings
 
 BAD = [None, [], [0.0, 0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0], [1.0, 0.0]]
