@@ -18,6 +18,7 @@ chosen as component_id (null only where a component holds no other id). Repeated
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -289,8 +290,9 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, block
 
 # --- near-dedup by similarity ---------------------------------------------------------------------------------------------
 
-#: Streams of 64 bits beside the probed one that candidates are compared on.
+#: Streams of 64 bits beside the probed one that candidates are compared on; and how many of all are probed, one by one.
 VERIFY_STREAMS = 4
+PROBED_STREAMS = 2
 #: What a row adds to its shingles in the size of a block of texts that are verified.
 ROW_WEIGHT = 500
 
@@ -439,7 +441,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_r
     """The rows of docs, all columns, that are the first (by doc_id) of their group of near copies.
 
     Near copies: texts whose sets of shingles of `words` words have a resemblance (Jaccard) of `similarity` or more, and what
-    these link. Candidates come from 320 fingerprint bits, 64 of them probed; each component of candidates is then split by
+    these link. Candidates come from 320 fingerprint bits, two times 64 of them probed; each component of candidates is then split by
     links that are checked on the sets themselves, which are made again of its texts. Resemblance also bounds how far the
     numbers of shingles lie apart, so only texts in the same or the next class of lengths meet. Texts of so few shingles that
     one is all they may differ in meet by their sets without one. Texts without words are copies of each other. Rows with a
@@ -454,11 +456,16 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_r
     per = {r["cls"]: r["n"] for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length class
     pairs = sum(k * (k / 2 + per.get(c + 1, 0)) for c, k in per.items())
     max_bits, max_all = bits_at(similarity, 64, 2.0), bits_at(similarity, 64 * (1 + VERIFY_STREAMS), 4.0)
-    n, gram = bit_statistics(items)
     both = items.withColumn("grp", F.explode(F.array(F.col("cls") - 1, F.col("cls")))).withColumn("low", F.col("grp") == F.col("cls"))
-    order = ["grp", "part", "key", "bi", "bj"]
-    parts = plan(n, gram, max_bits, pairs, 2)
-    keys = split_hot(keyed(both, parts, ["grp", "low", "node", *extra]), ["grp", "part", "key"], "node", block_rows)
+    order, streams, keys, known = ["grp", "part", "key", "bi", "bj"], ["fp", *extra], [], 0
+    for s in range(PROBED_STREAMS):  # each in its turn takes the place of the first
+        turn = dict(zip(streams, streams[s:] + streams[:s], strict=True))
+        n, gram = bit_statistics(items.select(F.col(turn["fp"]).alias("fp")))
+        parts = plan(n, gram, max_bits, pairs, 2)
+        turned = both.select("grp", "low", "node", *(F.col(t).alias(c) for c, t in turn.items()))
+        keys.append(keyed(turned, parts, ["grp", "low", "node", *extra]).withColumn("part", F.col("part") + known))
+        known += len(parts)
+    keys = split_hot(reduce(DataFrame.union, keys), ["grp", "part", "key"], "node", block_rows)
     rows = keys.select(*order, "blk", "own", "low", "node", "fp", *extra).repartition(*order).sortWithinPartitions(*order)
     near = rows.mapInArrow(_similar(max_bits, max_all), "a long, b long")
     maybe = components(near.union(items.select("node", F.explode("less"))))

@@ -159,6 +159,17 @@ def test_near_dedup_leaves_what_is_under_the_contract(docs, block):
     assert got == list(range(len(texts) - 2))
 
 
+def test_near_dedup_catches_what_is_at_the_contract(docs):
+    """300 pairs at exactly 0.8, of many shingles and of few."""
+    rng = random.Random(9)
+    pairs = [pair_of(rng, n, t) for n, t in ((90, 10), (180, 20), (9, 1)) for _ in range(100)]
+    for p in pairs[200:250]:  # four shingles of five
+        w = p[0].split()[:9]
+        p[:] = [" ".join(w), " ".join(w[:8])]
+    got = [r["doc_id"] for r in simhash.near_dedup(docs([t for p in pairs for t in p])).collect()]
+    assert sorted(got) == list(range(0, 600, 2))
+
+
 # --- embeddings
 
 BAD = [None, [], [0.0, 0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0], [1.0, 0.0]]
