@@ -321,20 +321,17 @@ def _items(words: int, short: int):
             if batch.num_rows:
                 node: list[int] = []
                 less: list[list[int]] = []
-                size: list[int] = []
 
-                def hashes(texts: list[bytes], node=node, less=less, size=size) -> Iterator[np.ndarray]:
+                def sets(texts: list[bytes], node=node, less=less) -> Iterator[np.ndarray]:
                     for t in texts:
-                        found = np.array(shingle_hashes(t, words), dtype=np.uint64)
-                        h = np.unique(found)
+                        h = shingle_set(t, words)
                         node.append(_digest(h))
-                        size.append(len(h))
                         less.append([_digest(np.delete(h, k)) for k in range(len(h))] if 1 < len(h) <= short else [])
-                        yield found
+                        yield h
 
-                fps, _ = set_fingerprints(hashes(binaries(batch.column("text"))), batch.num_rows, streams)
+                fps, count = set_fingerprints(sets(binaries(batch.column("text"))), batch.num_rows, streams)
                 cols = [pa.array(fps[:, s].view(np.int64)) for s in range(streams)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(less, pa.list_(pa.int64())), pa.array(size, pa.int64()), *cols], names=["doc_id", "node", "less", "n", "fp", *(f"e{s}" for s in range(1, streams))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(less, pa.list_(pa.int64())), pa.array(count), *cols], names=["doc_id", "node", "less", "n", "fp", *(f"e{s}" for s in range(1, streams))])
 
     return run
 

@@ -170,6 +170,14 @@ def test_near_dedup_catches_what_is_at_the_contract(docs):
     assert sorted(got) == list(range(0, 600, 2))
 
 
+def test_near_dedup_counts_a_repeated_passage_once(docs):
+    """A phrase 20 times in each of the texts, which have 200 other words each."""
+    rng = random.Random(10)
+    phrase = " ".join(f"p{k}" for k in range(10))
+    texts = [" ".join([phrase] * 20 + [f"v{rng.getrandbits(48)}" for _ in range(200)]) for _ in range(30)]
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs(texts)).collect()) == list(range(30))
+
+
 # --- embeddings
 
 BAD = [None, [], [0.0, 0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0], [1.0, 0.0]]
