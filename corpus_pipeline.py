@@ -3,7 +3,7 @@
 Each stage works on all that its predecessor kept. Null texts count as empty: the quality classifier scores them like any
 other, language ID rejects them (they are `und`), the lines of those that come later are one empty line, they are copies of
 each other, and they pack as the end id alone. Rows with a null doc_id pass every stage as rows of their own; rows that repeat
-a doc_id stay together until the near-copy stage, which keeps one. Null lang or source is never looked at but for learning.
+a doc_id stay together until the near-copy stage, which keeps one of each text. Null lang or source is never looked at but for learning.
 Other columns pass through, whatever their names. An empty table gives an empty one, and so do documents of which none has a
 language to learn from. Equal scores are equal decisions, and of equal texts the smallest doc_id stays.
 """

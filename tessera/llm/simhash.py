@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import binaries, block_counts, components, dealt, forest, read, runs_of, split_hot, whole_groups, written
 
@@ -373,6 +374,17 @@ def _similar(max_bits: int, max_all: int):
     return run
 
 
+def _noded(words: int):
+    """doc_id, row and the node of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = [_digest(shingle_set(t, words)) for t in binaries(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(node, pa.int64())], names=["doc_id", "row", "node"])
+
+    return run
+
+
 def _sets(names: list[str], words: int):
     """names and the set of shingles, of the rows whose set is that of their node."""
 
@@ -442,7 +454,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_r
     links that are checked on the sets themselves, which are made again of its texts. Resemblance also bounds how far the
     numbers of shingles lie apart, so only texts in the same or the next class of lengths meet. Texts of so few shingles that
     one is all they may differ in meet by their sets without one. Texts without words are copies of each other. Rows with a
-    null doc_id stay; of rows that repeat a doc_id which stays, one does."""
+    null doc_id stay. Of rows that repeat a doc_id and a text (its set) one stays; different texts under an id stay or go each."""
     extra = [f"e{s}" for s in range(1, 1 + VERIFY_STREAMS)]
     short = short_of(similarity)
     kind = "doc_id long, node long, less array<long>, n long, fp long, " + ", ".join(f"{e} long" for e in extra)
@@ -478,16 +490,18 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_r
     order = ["root", "bi", "bj"]
     rows = dealt(sets.dropDuplicates(["node"]) if some else sets, "node").repartition(*order).sortWithinPartitions(*order)
     roots = components(rows.mapInArrow(_verified(similarity, max_all, short), "a long, b long"))
-    # of each group the first row stays
+    # of each group the first row stays: an id, and which of its texts
     rooted = items.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    stays = rooted.join(stays, "root").select("node", "stays")
-    gone, _ = written(marked.select("doc_id", "node").join(stays, "node").where("doc_id <> stays").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    first = rooted.groupBy("root").agg(F.min(F.struct("first", "node")).alias("s")).select("s.first", "s.node")
+    stays, _ = written(first.select(F.col("first").alias("doc_id"), "node"))
+    gone, _ = written(marked.select("doc_id", "node").join(stays, ["doc_id", "node"], "left_anti").select("doc_id").distinct())
     if not some:
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(gone.union(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    several = docs.select("doc_id", "text", F.struct("*").alias("row")).join(repeated, "doc_id", "left_semi").select("doc_id", "text", "row")
+    kind = StructType([*several.select("doc_id", "row").schema, StructField("node", LongType())])
+    several = several.mapInArrow(_noded(words), kind).join(stays, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
+    return single.unionByName(several.select("row.*")).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -178,6 +178,14 @@ def test_near_dedup_counts_a_repeated_passage_once(docs):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(docs(texts)).collect()) == list(range(30))
 
 
+def test_near_dedup_drops_rows_not_ids(docs):
+    """A copy goes, another text under its id stays; rows that repeat id and text are one."""
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    got = simhash.near_dedup(docs([(1, a), (2, a), (2, b), (3, c), (3, d), (3, c), (3, d)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, a), (2, b), (3, c), (3, d)])
+
+
 # --- embeddings
 
 BAD = [None, [], [0.0, 0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0], [1.0, 0.0]]
