@@ -33,8 +33,9 @@ MIN_COSINE = 0.98
 SAMPLE = 20_000
 #: Rows of a bucket's block.
 BLOCK_ROWS = 1024
-#: With up to so many classes of a label, tables have 8 bits and meet exactly; with more, 16 bits and radius 1.
-SMALL = 500_000
+#: Width and radius of the tables, at every size: what two vectors are to each other doesn't depend on how many others there
+#: are. Codes meet that agree on one of 8 bytes; all do that differ in 7 bits or fewer.
+TABLES = (8, 0)
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +186,15 @@ def _compared(width: int, radius: int, min_cosine: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS, small: int = SMALL, tables: tuple[int, int] | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept: a row for each row of vectors. tables: (width, radius) instead of the choice."""
+def embedding_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS, tables: tuple[int, int] | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept: a row for each row of vectors. tables: (width, radius) instead of TABLES."""
     label = vectors.schema["label"].dataType.simpleString()
     marked, _ = written(vectors.select("vec_id", "label", "embedding").mapInArrow(_classes, f"vec_id long, label {label}, d1 long, d2 long, x binary"))
     classes = marked.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("w"), F.min("label").alias("label"), F.min("x").alias("x"))
     # a class's node is its digest's first half: 64 bits, told apart from others by the second half in no bucket
     classes, _ = written(classes.select(F.col("d1").alias("node"), "d1", "d2", "low", "w", F.xxhash64("label", F.octet_length("x")).alias("grp"), "x"))
     models = learn(classes, sample)
-    if tables is None:
-        most = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        tables = (8, 0) if most <= small else (16, 1)
+    tables = tables or TABLES
     coded = classes.select("node", "grp", "w", "x").mapInArrow(_coded(models), "node long, grp long, w long, x binary, code long")
     keys = split_hot(_tables(coded, *tables), ["tab", "grp", "key"], "node", block_rows)
     order = ["tab", "grp", "key", "bi", "bj"]

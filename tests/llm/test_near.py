@@ -1,5 +1,6 @@
 """SimHash, embeddings and nearest neighbours against brute force."""
 
+import inspect
 import random
 
 import numpy as np
@@ -218,6 +219,19 @@ def test_embedding_links(spark, d, block, tables):
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(x)))
 
 
+def test_embedding_tables_are_the_same_at_every_size(spark, monkeypatch):
+    """Codes that differ in two bits of every other byte meet in the bytes between, however large the table counts as."""
+    signs = object.__new__(embedding_dedup.Quantiser)
+    signs.basis = np.eye(64)
+    monkeypatch.setattr(embedding_dedup, "learn", lambda *_: {64: signs})
+    a, b = np.ones((2, 64))
+    few = [k for byte in (0, 2, 4, 6) for k in (8 * byte, 8 * byte + 1)]
+    a[few], b[few] = 0.05, -0.05
+    large = {"small": 0} if "small" in inspect.signature(embedding_dedup.embedding_dedup).parameters else {}
+    got = embedding_dedup.embedding_dedup(table(spark, [a.tolist(), b.tolist()]), **large).collect()
+    assert sorted((r["n_links"], r["component_id"]) for r in got) == [(1, 0), (1, 0)]
+
+
 def test_embedding_edges(spark):
     vectors = [*BAD, [1.0, 0.0, 0.0, 0.0], [2.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0], [1.0, 0.0]]
     labels = [0] * 10 + [None]
