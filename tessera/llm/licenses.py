@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +37,39 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
+#: Whole texts, in license_texts; those of AGPL-3.0 and of the CC licenses but BY-SA are not there.
+WHOLE = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0")
+#: A license whose text has all of another's: the other isn't reported within it.
+INCLUDES = {"BSD-3-Clause": "BSD-2-Clause"}
+#: Words that have to stand in a row where a template is found: what tells notices apart that are alike otherwise.
+MARKS = (
+    ("MIT", "Released under the MIT License.", "mit"),
+    ("Apache-2.0", "", "apache license"),
+    ("GPL-3.0", "", "gnu general public license"),
+    ("LGPL-3.0", "", "lesser general public license"),
+    ("AGPL-3.0", "", "affero general public license"),
+    ("MPL-2.0", "", "mozilla public license"),
+    ("BSD-3-Clause", "", "endorse or promote products"),
+    ("CC-BY-NC-4.0", "", "by-nc 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "commons attribution 4.0"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "by 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "by-sa 4.0"),
+    ("CC-BY-SA-4.0", "", "attribution-sharealike 4.0 international"),
+    ("CC-BY-ND-4.0", "", "by-nd 4.0"),
+    ("CC-BY-NC-SA-4.0", "", "by-nc-sa 4.0"),
+    ("CC-BY-NC-ND-4.0", "", "by-nc-nd 4.0"),
+)
+
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -47,6 +77,15 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """The notices and the whole texts."""
+    return (*TEMPLATES, *((n, files(__package__).joinpath("license_texts", f"{n}.txt").read_text()) for n in WHOLE))
+
+
+def in_a_row(phrase: list[str], words: list[str]) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs, sorted by the first, whose second increases: piles of patience with back links."""
     tops: list[int] = []
@@ -96,11 +135,14 @@ class Scanner:
     def __init__(self, templates=TEMPLATES, min_coverage: float = MIN_COVERAGE):
         self.min = min_coverage
         self.templates = [(name, words) for name, text in templates if (words := words_of(text))]
+        marks = {(name, text): mark for name, text, mark in MARKS}
+        self.marks = [words_of(marks.get((name, text)) or marks.get((name, ""), "")) for name, text in templates if words_of(text)]
         self.sets = [frozenset(w) for _, w in self.templates]
         self.counts = [Counter(w) for _, w in self.templates]
 
-    def best(self, words: list[str], present: set[str], places: dict[str, list[int]], t: int) -> tuple[int, int, int] | None:
-        """Most matched words of template t, and the first and last place in the text; None if below the minimum."""
+    def best(self, words: list[str], present: set[str], places: dict[str, list[int]], t: int, mark: list[str] | None = None) -> tuple[int, int, int] | None:
+        """Most matched words of template t, and the first and last place in the text; None if below the minimum. With a mark,
+        of the places that have it."""
         template, counts = self.templates[t][1], self.counts[t]
         n = len(template)
         need = max(1, -int(-self.min * n // 1))
@@ -118,9 +160,12 @@ class Scanner:
         found = None
         for s in sorted(windows):
             window = words[s : s + n + 2 * slack]
-            if sum(min(c, k) for w, c in counts.items() if (k := window.count(w))) < max(need, found[0] + 1 if found else 0):
+            here = Counter(window)
+            if sum(min(c, k) for w, c in counts.items() if (k := here[w])) < max(need, found[0] + 1 if found else 0):
                 continue
             got = aligned(template, window)
+            if mark and got and not in_a_row(mark, window[got[0][1] : got[-1][1] + 1]):
+                continue
             if len(got) >= need and (found is None or len(got) > found[0]):
                 found = (len(got), s + got[0][1], s + got[-1][1])
                 if len(got) == n:
@@ -137,18 +182,27 @@ class Scanner:
         places: dict[str, list[int]] = {}
         by: dict[str, tuple[str, float, int, int, int]] = {}
         for t, (name, template) in enumerate(self.templates):
-            if (got := self.best(words, present, places, t)) is not None:
+            mark = self.marks[t]
+            if not present.issuperset(mark):
+                continue
+            if (got := self.best(words, present, places, t, mark)) is not None:
                 row = (name, got[0] / len(template), *got)
                 if name not in by or (row[2], row[1]) > (by[name][2], by[name][1]):
                     by[name] = row
+        for name, part in INCLUDES.items():
+            if name in by and part in by and by[name][3] <= by[part][3] and by[part][4] <= by[name][4]:
+                del by[part]
         return sorted(by.values(), key=lambda r: (-r[2], -r[1], r[0]))
 
     def hints(self) -> tuple[str, ...]:
-        """Words one of which is in every text that covers a template: for each template, as many of its longest words as
-        can't all be missed."""
+        """Words one of which is in every text that covers a template: for each template, the longest word of its mark, or as
+        many of its longest words as can't all be missed."""
         if not hasattr(self, "_hints"):
             out: set[str] = set()
-            for (_, words), counts in zip(self.templates, self.counts, strict=True):
+            for (_, words), counts, mark in zip(self.templates, self.counts, self.marks, strict=True):
+                if mark:
+                    out.add(max(mark, key=len))
+                    continue
                 spare = len(words) - max(1, -int(-self.min * len(words) // 1))
                 for w in sorted(counts, key=lambda w: (-len(w), w)):
                     out.add(w)
@@ -170,10 +224,10 @@ def _scanned(names: list[str], templates, min_coverage: float):
     return run
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, and licenses: an array of all licenses found, the one with most matched words first. No text is moved."""
+def license_scan(docs: DataFrame, templates=None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """templates: (license, text) of each instead of all_templates(). doc_id, and licenses: an array of all licenses found, the one with most matched words first. No text is moved."""
     fields = "doc_id long, licenses array<struct<license: string, coverage: double, matched: int, first_word: int, last_word: int>>"
-    return docs.select("doc_id", "text").mapInArrow(_scanned(["doc_id"], templates, min_coverage), fields)
+    return docs.select("doc_id", "text").mapInArrow(_scanned(["doc_id"], all_templates() if templates is None else templates, min_coverage), fields)
 
 
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:

@@ -112,6 +112,15 @@ def test_scan_finds_notices_and_near_ones(docs):
     assert got == {0: [], 1: ["MIT"], 2: ["CC-BY-NC-4.0"], 3: ["MIT"], 4: ["Apache-2.0"], 5: [], 6: ["GPL-3.0", "Apache-2.0"]}
 
 
+def test_scan_tells_relatives_apart(docs):
+    whole = dict(licenses.all_templates())
+    bsd2, bsd3 = whole["BSD-2-Clause"], whole["BSD-3-Clause"]
+    texts = [bsd2, bsd3, "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under CC BY-SA 4.0.", "Released under the BSD License.", "a b " + whole["GPL-3.0"], whole["MIT"], "Licensed under CC BY 4.0.", "This work is licensed under the GNU Lesser General Public License, version 3." + " x" * 30 + " This work is licensed under the GNU General Public License, version 3."]
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in licenses.license_scan(docs(texts)).collect()}
+    assert got == {0: ["BSD-2-Clause"], 1: ["BSD-3-Clause"], 2: ["LGPL-3.0"], 3: ["AGPL-3.0"], 4: ["CC-BY-SA-4.0"], 5: [], 6: got[6], 7: ["MIT"], 8: ["CC-BY-4.0"], 9: got[9]}
+    assert got[6][0] == "GPL-3.0" and set(got[9]) == {"LGPL-3.0", "GPL-3.0"}
+
+
 def brute_best(words, template, least):
     """The best window of all, by the same alignment."""
     n = len(template)
