@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +31,47 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set, as in tests."""
+    """The shared folder of the cluster; a folder of our own only where none is set and all runs on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scratch tables made within are removed at the end; those named in the list it gives stay. Without it, the tables that a
+    result reads stay until the cluster's folder is emptied."""
+    made: list[str] = []
+    keep: list[str] = []
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for path in made:
+            if path not in keep:
+                dropped(spark, path)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, which cuts its lineage, and the table's path."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), path
@@ -133,12 +163,32 @@ def split_hot(df: DataFrame, keys: list[str], spread: str, limit: int) -> DataFr
     return dealt(block_counts(df, keys, limit), spread)
 
 
+#: Rows of one key that a task joins; more are dealt to several. Keys with more rows than that and than a MOST_HOT-th of all
+#: rows are broadcast, so that there are fewer than MOST_HOT of them at any size.
+HOT_ROWS = 256
+MOST_HOT = 10_000
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner", counted: DataFrame | None = None, rows: int | None = None, limit: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which has one row a key at most, on keys that aren't null. A key with very many rows on the left
+    is cut by the hash of `spread`, and its row on the right is copied to each piece, so that no task has a whole hot key.
+    counted: the keys of left's rows, where these are at hand without the rest of left."""
+    counted = left if counted is None else counted
+    bound = max(limit, (counted.count() if rows is None else rows) // MOST_HOT)
+    hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_nb")))
+    a = left.join(hot, keys, "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_nb")), F.lit(0)).cast("int")).drop("_nb")
+    b = right.join(hot, keys, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1))).drop("_nb")
+    return a.join(b, [*keys, "_s"], how).drop("_s")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for all nodes of the links (a, b) that aren't their own root.
 
     Alternating large and small stars: each round links every node's larger neighbours, then its smaller ones, to the
-    smallest one near it, until nothing changes. Minima are aggregated before the shuffle, so that a node with very many
-    links lands in no single task; each round is a table in the shared folder."""
+    smallest one near it, until nothing changes. Minima are aggregated before the shuffle, and the links of a node that has
+    very many are cut where they meet its minimum, so that no node lands in a single task; each round is a table in the
+    shared folder."""
     spark = edges.sparkSession
     e, path = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -146,12 +196,14 @@ def components(edges: DataFrame) -> DataFrame:
     while old[0]:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(both, low, ["a"], "b", rows=2 * old[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large, large_path = written(large)
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low2).distinct()
+        small = met(large, low2, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low2).distinct()
         e, new_path = written(small)
         new = mark(e)
         dropped(spark, path)
+        dropped(spark, large_path)
         path = new_path
         if new == old:
             break

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -45,3 +46,55 @@ def test_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     want = dict(zip(texts, brute(list(texts.values()), 10), strict=True))
     assert all((r["n_lines"], r["n_dropped"], r["kept_sha256"]) == (*want[r["doc_id"]][:2], hashlib.sha256(want[r["doc_id"]][2].encode()).hexdigest()) for r in got) and len(got) == len(texts)
+
+
+def test_runs_are_joined_and_compacted(spark, monkeypatch):
+    """The registered query's own batches: each is anti-joined with the settled runs, levels are compacted, nothing is left over."""
+    made, plans, write = [], [], L.Run.__init__
+    start = L.LineRuns.__init__
+
+    def kept(self, *args):
+        start(self, *args)
+        made.append(self)
+
+    def seen(self, spark, df, buckets):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, spark, df, buckets)
+
+    monkeypatch.setattr(L.LineRuns, "__init__", kept)
+    monkeypatch.setattr(L.Run, "__init__", seen)
+    L.op1_line_dedup(spark, "/root/testdata/sf0.001").count()
+    (runs,) = made
+    assert runs.joins >= 8 and runs.compactions >= 4 and len(runs.levels) >= 3
+    anti = [p for p in plans if "SortMergeJoin" in p and "LeftAnti" in p]
+    assert len(anti) >= 8
+    assert not spark.catalog.listTables()  # runs are dropped when the keys are known
+
+
+def test_settled_is_exact_after_each_batch(spark):
+    """Whatever has come so far, the settled runs hold exactly the keys found in min_docs documents."""
+    rng, total = random.Random(5), Counter()
+    runs = L.LineRuns(spark, 6, 2)
+    for _ in range(7):
+        counts = [(rng.randrange(40), 0, rng.randint(1, 2)) for _ in range(25)]
+        total.update({h: 0 for h, _, _ in counts})
+        for h, _, n in counts:
+            total[h] += n
+        runs.add(spark.createDataFrame(counts, "h1 long, h2 long, n long"))
+        got = [r["h1"] for r in runs.frequent().collect()]
+        assert sorted(got) == sorted(h for h, n in total.items() if n >= 6)
+    for run in {*runs.settled, *(r for level in runs.levels for r in level)}:
+        run.drop()
+
+
+def test_rows_keep_every_column(docs):
+    """Whatever the names, on both ways; hot lines and hot texts are cut."""
+    d = docs(["x\na"] * 400 + [f"x\nb{i}" for i in range(400)])
+    for c in ("_t1", "_t2", "_gone", "row", "gone", "t1", "h1", "n_lines", "kept_text", "_s", "_nb"):
+        d = d.withColumn(c, F.lit("mine"))
+    for limit in (1_000_000, 0):
+        got = L.without_frequent_lines(d, 401, broadcast_keys=limit)
+        assert got.schema == d.schema or got.columns == d.columns
+        rows = got.collect()
+        assert len(rows) == 800 and {r["text"] for r in rows} == {"a", *(f"b{i}" for i in range(400))}
+        assert all(r["_t1"] == r["row"] == r["n_lines"] == r["_s"] == "mine" for r in rows)
