@@ -251,21 +251,66 @@ def brute_nearest(x, ids, k, every):
     return out
 
 
-@pytest.mark.parametrize("block,hashes", [(4096, 1), (50, 1), (4096, 2)])
-def test_nearest(spark, block, hashes):
-    rng = np.random.default_rng(5)
-    x = np.vstack([rng.standard_normal((1500, 32)), clustered(rng, 200, 32, 0.1)]).astype("f4").astype(float)
-    ids = np.arange(len(x))
-    want = brute_nearest(x, ids, 10, 20)
-    probes = 24 if hashes == 1 else 1600
-    got = ann.nearest(table(spark, x.tolist()), 10, 20, probes=probes, hashes=hashes, block_rows=block).collect()
+def check_nearest(spark, x, k, every, least=0.9, **how):
+    want = brute_nearest(x, np.arange(len(x)), k, every)
+    got = ann.nearest(table(spark, x.tolist()), k, every, **how).collect()
     mine = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         mine.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
-        assert abs(r["score"] - x[r["query_id"]] @ x[r["vec_id"]]) < 1e-9
-    assert set(mine) == set(want) and all(len(v) == 10 and v == sorted(v) for v in mine.values())
+        assert abs(r["score"] - x[r["query_id"]] @ x[r["vec_id"]]) <= 1e-9 * abs(r["score"])
+        assert r["rank"] == len(mine[r["query_id"]])
+    assert set(mine) == set(want) and all(len(v) == min(k, len(x) - 1) and v == sorted(v) for v in mine.values())
     hit = sum(len({v for _, v in mine[q]} & {v for _, v in want[q]}) for q in want)
-    assert hit >= 0.9 * 10 * len(want)
+    assert hit >= least * sum(map(len, want.values()))
+    return got
+
+
+@pytest.mark.parametrize("block,queries", [(None, 16384), (50, 7)])
+@pytest.mark.parametrize("kind", ["flat", "lengths"])
+def test_nearest(spark, kind, block, queries):
+    """Vectors without structure and clusters of them, of one length and of very different ones; blocks that cut hot buckets."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.standard_normal((1500, 32)), clustered(rng, 200, 32, 0.1), np.ones((130, 32))])
+    if kind == "lengths":
+        x *= np.exp(rng.standard_normal(len(x)))[:, None]
+    x = x.astype("f4").astype(float)
+    check_nearest(spark, x, 10, 20, block_rows=block, block_queries=queries)
+
+
+@pytest.mark.parametrize("n,d", [(2, 64), (15, 64), (60, 5), (21, 1)])
+def test_nearest_of_few(spark, n, d):
+    """Fewer candidates than are asked for: all of them."""
+    x = np.random.default_rng(n).standard_normal((n, d)).astype("f4").astype(float)
+    check_nearest(spark, x, 20, 1, least=1.0)
+
+
+def test_blocks_change_nothing(spark):
+    x = np.random.default_rng(6).standard_normal((900, 16)).astype("f4").astype(float)
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(check_nearest(spark, x, 5, 10)) == key(check_nearest(spark, x, 5, 10, block_rows=40, block_queries=3))
+
+
+def test_probes_are_fewer_than_rows():
+    """Of 20,000 rows without structure, three fifths at most are scored for a query; of as many in clusters, a tenth."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((400, 64))
+    for x, most in ((rng.standard_normal((20_000, 64)), 0.6), (centres[rng.integers(0, 400, 20_000)] + 0.5 * rng.standard_normal((20_000, 64)), 0.1)):
+        unit, size = ann.unit_and_size(x)
+        axes = ann.axes_of(len(x), 64)
+        keys = np.stack([ann.codes(unit, t, axes) for t in range(4)], axis=1)
+        buckets = {}
+        for t in range(4):
+            own, inv, n = np.unique(keys[:, t], return_inverse=True, return_counts=True)
+            longest = np.zeros(len(own))
+            np.maximum.at(longest, inv, size)
+            buckets[t] = (own, n, longest)
+        some = x[:100]
+        score = some @ x.T
+        np.fill_diagonal(score, -np.inf)
+        top = np.argsort(-score, axis=1)[:, :20]
+        many, tau = ann.tuned(buckets, axes, some, [keys[t] for t in top], 0.95, 0.05)
+        scored = sum((ann.prospects(ann.coordinates(unit[100:200], t, axes), buckets[t][0], buckets[t][2]) >= tau) @ buckets[t][1] for t in range(many))
+        assert scored.mean() < most * len(x)
 
 
 def test_nearest_edges(spark):
