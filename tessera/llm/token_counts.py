@@ -8,13 +8,18 @@ encoding's count differs from the present one. Reading a character extends the p
 follows its last token unmerged is the new last token, and the change of the count is annotated on the transition. No piece
 spans the start of a word or a character outside the vocabulary, so there the state falls back to a few reset states.
 
-A batch's texts are one stream of character classes, cut into equal chunks that are run in lockstep. A chunk starts in a
-waiting state, which falls through to a known one at the first reset; so the chunk's state map is: the head before that
-reset, read from whatever state came in, then a constant count and exit state. Maps of this form compose to maps of this
-form, and a scan over the chunks gives every chunk its entry state, with which the heads are read, again in lockstep.
-Transitions that are met for the first time are compiled then; the compiled table is dropped beyond a bounded size.
-
-Null text is empty. Begin, end and added tokens are not counted; special strings inside texts are ordinary text.
+A batch's texts are one stream of character classes, cut into equal chunks that are run in lockstep. The state map of a chunk
+(entry state to exit state and count) is first taken at one entry state, that which a short run over the characters before the
+chunk leads to: tokens are local, so it is nearly always the true one. A scan composes the maps: where a chunk's exit state is
+not the entry state at which the next one's map is known, the next chunk is read from there too, in lockstep with all others
+like it, until it comes to a state that it had at that place before; from there on the two readings are the same. The scan is
+repeated until every map is known where it is entered, which makes the counts exact whatever the guesses were. Nothing
+depends on spaces. Transitions that are met for the first time are compiled then; table, states and what they refer to are
+dropped together beyond a bounded size, of which the state that a chunk was in is carried over.
+
+Null and empty texts have no tokens; repeated rows are counted each; an empty table gives no rows. Very long texts are read in
+pieces of the same stream. Begin, end and added tokens are not counted; special strings inside texts are ordinary text. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,15 +36,21 @@ from .common import read
 FILE = "piece_bpe_32k.model"
 #: Tokens beyond which a document is over the limit.
 LIMIT = 4096
-#: Character classes of the compiled table, and its entries (8 bytes each). With more entries it starts anew; a batch whose
-#: texts would bring more classes than that to a worker is read by the library itself.
-MAX_CLASSES = 2048
-MAX_ENTRIES = 1 << 24
+#: Classes and chunks of a piece of the stream, the characters read before a chunk to guess its entry state.
+PIECE = 1 << 19
+CHUNK = 256
+BEFORE = 24
+#: States, and pages of the table, beyond which it starts anew before the next piece; entries of a page.
+MAX_STATES = 1 << 17
+MAX_PAGES = 1 << 18
+PAGE = 32
+MAX_PAIRS = 600_000
 #: Below a trie node with up to so many pieces, last tokens are told apart only by which of these may follow.
 FEW_PIECES = 24
 
 _SPACE = 0x2581
-#: Classes 0 to 6: the end of a text, a space, and characters outside the vocabulary by their UTF-8 bytes (1 to 4).
+#: Classes 0 to 5: the end of a text, a space, and characters by how many tokens they always are, whatever is around them:
+#: those that are in no longer piece (1), and those outside the vocabulary by their UTF-8 bytes (1 to 4).
 _END, _WORD, _OUT = 0, 1, 2
 
 
@@ -67,60 +78,77 @@ class Transducer:
         mixed = any(a != chr(_SPACE) and b == chr(_SPACE) for p in pieces for a, b in zip(p, p[1:], strict=False))
         singles = {p for p in pieces if len(p) == 1}
         self.sound = not mixed and all(c in singles for p in pieces for c in p) and self.lib.encode("\n")[-1:] == [self.lib.piece_to_id("<0x0A>")] and self.lib.encode(" a b", out_type=str) == self.lib.encode("▁a▁b", out_type=str) and not any(self.lib.id_to_piece(i) in pieces for i in range(n) if self.lib.is_byte(i))
-        self.known = {ord(c) for c in singles}
-        self.follows: dict[tuple[int, int], bool] = {}
+        inside = {c for p in pieces if len(p) > 1 for c in p}
+        self.known = {ord(c) for c in singles if c in inside}
+        self.lone = {ord(c) for c in singles if c not in inside}
+        #: Characters that something follows in a piece; nothing merges with a token that ends otherwise.
+        self.joins = {c for p in pieces for c in p[:-1]}
+        self.follows: dict[int, bool] = {}
         self.below: dict[int, tuple[int, ...] | None] = {}
-        self.forms: dict[tuple[int, int], int | None] = {}
-        self.sets: list[frozenset[int]] = []
-        self.set_ids: dict[tuple[int, ...], int] = {}
         self.classes: dict[int, int] = {}
         self.char_class = np.full(0x110000, -1, dtype=np.int16)
         self.char_class[ord(" ")] = self.char_class[_SPACE] = _WORD
         self.chars: list[int] = [0, _SPACE, 0, 0, 0, 0]
+        self.pages_each = -(-(len(self.known) + len(self.chars)) // PAGE)
         self.clear()
 
     # States: tuples of (trie node, what may follow there, the count at its start less the present one), the nearest start
     # last. What may follow: a last token (0 or more), anything (-1), or one of the interned sets of pieces (-2 and below):
     # where few pieces lie below a node, only which of them the last token leaves unmerged matters, and many last tokens
-    # are alike in that. START: the count stands at a reset; WAIT, WAIT_IN: a chunk's start, before and after a character
-    # other than a space. Table entries hold the next state's row and, in the low six bits, the emitted count plus 32.
+    # are alike in that. The table has a row of pages for each state; a page holds the transitions of PAGE classes and is made
+    # when one of them is met. An entry holds the next state's row and, in the low six bits, the emitted count plus 32.
     def clear(self) -> None:
-        self.width = max(128, 1 << (len(self.chars) - 1).bit_length())
-        self.states: list[tuple | None] = []
+        self.states: list[tuple] = []
         self.index: dict[tuple, int] = {}
-        self.table = np.full((256, self.width), -1, dtype=np.int64)
+        self.forms: dict[tuple[int, int], int | None] = {}
+        self.sets: list[frozenset[int]] = []
+        self.set_ids: dict[tuple[int, ...], int] = {}
+        self.rows = np.zeros(256 * self.pages_each, dtype=np.int64)  # places in the table; page 0 is of unknown ones
+        self.table = np.full(1024 * PAGE, -1, dtype=np.int64)
+        self.n_pages = 1
         self.start = self._state(((0, -1, 0),))
         self.word = self._state(self._read(((0, -1, 0),), _SPACE)[0])
-        self.wait, self.wait_in = self._add(None), self._add(None)
-        for s in (self.wait, self.wait_in):
-            for k in range(self.width):
-                self._put(s, k, self.start if k == _END or _OUT <= k < _OUT + 4 else self.wait_in, 0)
-        self._put(self.wait, _WORD, self.wait, 0)
-        self._put(self.wait_in, _WORD, self.word, 0)
 
-    def _put(self, s: int, k: int, to: int, n: int) -> None:
-        self.table[s, k] = to * self.width * 64 + n + 32
+    def full(self) -> bool:
+        return len(self.states) > MAX_STATES or self.n_pages > MAX_PAGES
 
-    def _add(self, state: tuple | None) -> int:
-        s = len(self.states)
-        self.states.append(state)
-        if s >= len(self.table):
-            self.table = np.vstack([self.table, np.full_like(self.table, -1)])
-        return s
+    def carried(self, s: int) -> int:
+        """Clears, and gives the state that s was."""
+        state = [(node, self.sets[-2 - key] if key < -1 else key, less) for node, key, less in self.states[s]]
+        self.clear()
+        return self._state(tuple((node, self._set(tuple(sorted(key))) if isinstance(key, frozenset) else key, less) for node, key, less in state))
+
+    def _put(self, s: int, k: int, to: int, n: int) -> None:
+        at = s * self.pages_each + k // PAGE
+        if not self.rows[at]:
+            if (self.n_pages + 1) * PAGE > len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            self.rows[at] = self.n_pages * PAGE
+            self.n_pages += 1
+        self.table[self.rows[at] + k % PAGE] = to * self.pages_each * 64 + n + 32
 
     def _state(self, state: tuple) -> int:
         if (s := self.index.get(state)) is None:
-            s = self.index[state] = self._add(state)
+            s = self.index[state] = len(self.states)
+            self.states.append(state)
+            if (s + 1) * self.pages_each > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         return s
 
+    def _set(self, ok: tuple[int, ...]) -> int:
+        if (got := self.set_ids.get(ok)) is None:
+            got = self.set_ids[ok] = -2 - len(self.sets)
+            self.sets.append(frozenset(ok))
+        return got
+
     def _unmerged(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay as they are when encoded together."""
-        if (ok := self.follows.get((a, b))) is None:
+        if (ok := self.follows.get(a << 32 | b)) is None:
             left = self.text_of[a] if a >= 0 else ""
             ok = self.lib.encode("\n" + left + self.text_of[b])[2:] == ([a, b] if a >= 0 else [b])
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > MAX_PAIRS:
                 self.follows.clear()
-            self.follows[a, b] = ok
+            self.follows[a << 32 | b] = ok
         return ok
 
     def _below(self, node: int) -> tuple[int, ...] | None:
@@ -146,11 +174,7 @@ class Transducer:
                 got = key
             else:
                 ok = tuple(p for p in few if (self._unmerged(key, p) if key >= 0 else key == -1 or p in self.sets[-2 - key]))
-                if not ok:
-                    got = None
-                elif (got := self.set_ids.get(ok)) is None:
-                    got = self.set_ids[ok] = -2 - len(self.sets)
-                    self.sets.append(frozenset(ok))
+                got = self._set(ok) if ok else None
             self.forms[node, key] = got
         return got
 
@@ -167,6 +191,8 @@ class Transducer:
                 live.append((to, form, less))
         if token < 0:
             raise ValueError(f"no token ends at character {c}")
+        if self.text_of[token][-1] not in self.joins:
+            token = -1
         return (*((node, key, less - count) for node, key, less in live), (0, token, 0)), count
 
     def compile(self, s: int, k: int) -> None:
@@ -189,99 +215,110 @@ class Transducer:
         last = state[-1][1]
         return last >= 0 and set(self.text_of[last]) == {chr(_SPACE)}
 
-    def class_of(self, chars: np.ndarray) -> np.ndarray | None:
-        """Classes of code points; None if there would be too many."""
+    def class_of(self, chars: np.ndarray) -> np.ndarray:
+        """Classes of code points."""
         got = self.char_class[chars]
         if (got < 0).any():
             for c in np.unique(chars[got < 0]).tolist():
                 if c in self.known:
-                    if len(self.chars) >= MAX_CLASSES:
-                        return None
                     self.char_class[c] = len(self.chars)
                     self.chars.append(c)
                 else:
-                    self.char_class[c] = _OUT + len(chr(c).encode("utf-8", "surrogatepass")) - 1
+                    self.char_class[c] = _OUT if c in self.lone else _OUT + len(chr(c).encode("utf-8", "surrogatepass")) - 1
             got = self.char_class[chars]
-            if len(self.chars) > self.width:
-                self.clear()
         return got
 
     def _step(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The table's entries at rows (states times width) and classes; unknown ones are compiled."""
-        got = self.table.ravel().take(rows + k)
+        """The table's entries at rows (states times their pages) and classes; unknown ones are compiled."""
+        got = self.table.take(self.rows.take(rows + k // PAGE) + k % PAGE)
         if got.min(initial=0) < 0:
             miss = got < 0
-            for s, c in set(zip((rows[miss] // self.width).tolist(), k[miss].tolist(), strict=True)):
+            for s, c in set(zip((rows[miss] // self.pages_each).tolist(), k[miss].tolist(), strict=True)):
                 self.compile(s, c)
-            got = self.table.ravel().take(rows + k)
+            got = self.table.take(self.rows.take(rows + k // PAGE) + k % PAGE)
         return got
 
-    def run_chunks(self, stream: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Reads the columns of stream in lockstep, the first from a reset and the others from a waiting state: each chunk's
-        exit row, and how many classes its head has (all of them: no reset in it)."""
-        m, n = stream.shape
-        row = np.full(n, self.wait * self.width, dtype=np.int64)
-        row[0] = self.start * self.width
-        heads, waiting = np.full(n, m, dtype=np.int64), np.ones(n, dtype=bool)
-        heads[0], waiting[0] = 0, False
-        waits = (self.wait * self.width, self.wait_in * self.width)
+    def _guesses(self, stream: np.ndarray, entry: int) -> np.ndarray:
+        """Rows of the entry states of chunks: what comes of the characters before each, from the last of them after which the
+        state is the same whatever came before, if there is one."""
+        before = stream[-BEFORE - 1 :, :-1]
+        anew = (before == _END) | (before >= _OUT) & (before < _OUT + 4)
+        word = before == _WORD
+        word[1:] &= ~word[:-1]
+        word[0] = False
+        reset = anew | word
+        n = len(before)
+        last = np.where(reset.any(axis=0), n - 1 - np.argmax(reset[::-1], axis=0), -1)
+        at_word = (last >= 0) & word[last, np.arange(len(last))]
+        row = np.where(at_word, self.word, self.start) * self.pages_each
+        for t in range(n):
+            some = np.flatnonzero(last < t)
+            row[some] = self._step(row[some], before[t, some]) >> 6
+        return np.concatenate([[entry * self.pages_each], row])
+
+    def read(self, got: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """Emitted counts of a piece of the stream, which is entered in a state, and the state after it."""
+        m, lanes = min(CHUNK, len(got)), -(-len(got) // CHUNK)
+        stream = np.zeros(lanes * m, dtype=np.int64)  # padded by ends of texts, which emit nothing
+        stream[: len(got)] = got
+        stream = np.ascontiguousarray(stream.reshape(lanes, m).T)
+        entries = self._guesses(stream, entry)
+        # the maps there, and the states on the way
+        emitted, trail = np.zeros((m, lanes), dtype=np.int8), np.zeros((m, lanes), dtype=np.int64)
+        row = entries
         for t in range(m):
-            got = self._step(row, stream[t])
-            np.bitwise_and(got, 63, out=emitted[t], casting="unsafe")
-            row = got >> 6
-            if waiting.any():
-                out = waiting & (row != waits[0]) & (row != waits[1])
-                heads[out] = t + 1
-                waiting &= ~out
-        emitted -= 32
-        return row, heads
-
-    def run_heads(self, stream: np.ndarray, emitted: np.ndarray, lanes: np.ndarray, rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """Reads the first heads[i] classes of chunk lanes[i] from rows[i]; the exit rows."""
-        order = np.argsort(-heads, kind="stable")
-        lanes, row, size = lanes[order], rows[order].copy(), heads[order]
-        for t in range(int(size.max(initial=0))):
-            n = int(np.searchsorted(-size, -t, side="left"))  # chunks with longer heads than t
-            got = self._step(row[:n], stream[t, lanes[:n]])
-            emitted[t, lanes[:n]] = (got & 63) - 32
-            row[:n] = got >> 6
-        out = np.empty_like(row)
-        out[order] = row
-        return out
+            step = self._step(row, stream[t])
+            emitted[t] = (step & 63) - 32
+            row = trail[t] = step >> 6
+        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = None
+        rounds = 0
+        while len(wrong := np.flatnonzero(trail[-1, :-1] != entries[1:]) + 1):  # the scan
+            if (rounds := rounds + 1) > 2:  # not local, as in long runs of a character: equal chunks share their maps
+                if known is None:
+                    same = np.unique(np.ascontiguousarray(stream.T).view(f"V{8 * m}"), return_inverse=True)[1].ravel().tolist()
+                    known = {}
+                    wrong = np.arange(lanes)
+                for j in wrong.tolist():
+                    known.setdefault((same[j], int(entries[j])), (emitted[:, j].copy(), trail[:, j].copy()))
+                for j in range(1, lanes):
+                    if (need := int(trail[-1, j - 1])) != entries[j]:
+                        if (found := known.get((same[j], need))) is None:
+                            break
+                        entries[j], (emitted[:, j], trail[:, j]) = need, found
+                wrong = np.flatnonzero(trail[-1, :-1] != entries[1:]) + 1
+            entries[wrong] = row = trail[-1, wrong - 1]
+            for t in range(m):
+                if not len(wrong):
+                    break
+                step = self._step(row, stream[t, wrong])
+                emitted[t, wrong] = (step & 63) - 32
+                row = step >> 6
+                other = row != trail[t, wrong]
+                trail[t, wrong] = row
+                wrong, row = wrong[other], row[other]
+        last = (len(got) - 1) % m
+        return emitted.T.ravel()[: len(got)], int(trail[last, -1]) // self.pages_each
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         if not self.sound:
             return np.array([len(x) for x in self.lib.encode(texts, num_threads=1)], dtype=np.int64)
-        if len(self.states) * self.width > MAX_ENTRIES:
-            self.clear()
         joined = "".join(" " + t + "\0" if t else "\0" for t in texts)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         sizes = np.array([len(t) + 2 if t else 1 for t in texts], dtype=np.int64)
         ends = np.cumsum(sizes) - 1
-        got = self.class_of(chars)
-        if got is None:
-            return np.array([len(x) for x in self.lib.encode(texts, num_threads=1)], dtype=np.int64)
-        n = max(1, min(4096, len(got) // 256))
-        m = -(-len(got) // n)
-        stream = np.zeros(n * m, dtype=np.int64)  # padded by ends of texts, which emit nothing
-        stream[: len(got)] = got
-        stream[ends] = _END
-        stream = np.ascontiguousarray(stream.reshape(n, m).T)
-        emitted = np.zeros((m, n), dtype=np.int8)
-        exits, heads = self.run_chunks(stream, emitted)
-        known = heads < m  # the map is a constant after its head
-        known[0] = True
-        todo = np.arange(1, n)
-        while len(todo):  # the scan: a chunk is entered in the exit state of the one before, where that is known
-            ready = todo[known[todo - 1]]
-            out = self.run_heads(stream, emitted, ready, exits[ready - 1], heads[ready])
-            through = heads[ready] == m
-            exits[ready[through]] = out[through]
-            known[ready] = True
-            todo = np.setdiff1d(todo, ready)
-        total = np.concatenate([[0], np.cumsum(emitted.T.ravel()[: len(got)], dtype=np.int64)])
-        return total[ends + 1] - total[ends + 1 - sizes]
+        total, state, before = [np.zeros(1, dtype=np.int64)], self.start, 0
+        for s in range(0, len(chars), PIECE):
+            if self.full():
+                state = self.carried(state)
+            got = self.class_of(chars[s : s + PIECE])
+            here = ends[np.searchsorted(ends, s) : np.searchsorted(ends, s + PIECE)] - s
+            got[here] = _END
+            emitted, state = self.read(got, state)
+            so_far = np.cumsum(emitted, dtype=np.int64) + before
+            before = int(so_far[-1])
+            total.append(so_far[here])
+        return np.diff(np.concatenate(total))
 
 
 _workers: dict[str, Transducer] = {}
@@ -301,9 +338,9 @@ def _count(file: str):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             out, i = np.zeros(len(texts), dtype=np.int64), 0
-            while i < len(texts):  # texts of about four million characters at once
+            while i < len(texts):  # some texts at once
                 j, chars = i, 0
-                while j < len(texts) and chars < 4_000_000:
+                while j < len(texts) and chars < 2 * PIECE:
                     chars += len(texts[j])
                     j += 1
                 out[i:j] = own.counts(texts[i:j])

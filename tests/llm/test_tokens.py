@@ -46,13 +46,51 @@ def test_counts_after_the_table_is_dropped():
 
 
 def test_counts_with_very_many_characters():
+    """All characters there are: the classes are those of the vocabulary's own, and no text goes to the library."""
     own = token_counts.Transducer(__import__("public_tokenizers").path(token_counts.FILE))
-    wide = ["plain text first", "".join(map(chr, range(0x370, 0x500))) * 3, "and so on"]  # the table grows wider
-    assert own.counts(wide[:1])[0] > 0 and own.width == 128
-    assert own.counts(wide).tolist() == [len(x) for x in own.lib.encode(wide)] and own.width > 128
-    many = ["".join(chr(c) for c in range(0x3000, 0xD000)), "and so on"]  # more characters than the table holds
-    assert own.counts(many).tolist() == [len(x) for x in own.lib.encode(many)]
-    assert own.counts(wide).tolist() == [len(x) for x in own.lib.encode(wide)]
+    wide = ["plain text first", "".join(map(chr, range(0x370, 0x500))) * 3, "and so on", "".join(chr(c) for c in range(0x3000, 0xD000)), "".join(map(chr, range(0x10000, 0x12000)))]
+    want = [len(x) for x in own.lib.encode(wide)]
+    asked, encode = [], own.lib.encode
+
+    class Lib:
+        def encode(self, x, **how):
+            asked.append(x)
+            return encode(x, **how)
+
+    own.lib = Lib()
+    assert own.counts(wide).tolist() == own.counts(wide).tolist() == want
+    assert all(isinstance(x, str) and len(x) < 64 for x in asked)  # pairs of pieces only
+    assert len(own.chars) <= len(own.known) + 6
+
+
+def test_counts_of_texts_without_spaces_and_of_long_runs():
+    """The scan is exact where chunks' guesses are wrong, and takes few readings where states come again."""
+    own = token_counts.transducer(token_counts.FILE)
+    rng = random.Random(4)
+    texts = ["x" * 70_001, " " * 9_999, "ab" * 8_000 + "c" * 8_000, "".join(rng.choice("abcdeé1中") for _ in range(20_000)), "=" * 5000 + "-" * 5000, "aaab" * 7000, "\n" * 3000 + "\t" * 3000]
+    assert own.counts(texts).tolist() == [len(x) for x in own.lib.encode(texts)]
+    steps, step = [0], own._step
+
+    def counted(rows, k):
+        steps[0] += 1
+        return step(rows, k)
+
+    own._step = counted
+    own.counts(["x" * 70_001])
+    del own._step
+    assert steps[0] < 40 * token_counts.CHUNK  # and not the 70,001 of one reading after another
+
+
+def test_pieces_and_dropped_tables_carry_the_state(monkeypatch):
+    """Wherever pieces of the stream end, and however often the table starts anew."""
+    own = token_counts.Transducer(__import__("public_tokenizers").path(token_counts.FILE))
+    texts = [*ODD, *random_texts(300, 8), "", "thereandhere " * 300, "x" * 2000]
+    want = [len(x) for x in own.lib.encode(texts)]
+    for piece, states in ((700, 40), (1000, 1 << 17), (257, 10)):
+        monkeypatch.setattr(token_counts, "PIECE", piece)
+        monkeypatch.setattr(token_counts, "MAX_STATES", states)
+        assert own.counts(texts).tolist() == want
+        assert len(own.states) < states + 2 * piece
 
 
 def test_count_edges(docs):
