@@ -194,6 +194,20 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     return docs.mapInArrow(_predicted(docs.columns, model), f"{fields}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Hierarchy | None, min_score: float) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose language is not `und` and scores at least so much."""
+    judge = _predicted([], model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = next(judge(iter([batch])))
+                sure = (found.column("score").to_numpy() >= min_score) & np.array([g != "und" for g in found.column("lang_pred").to_pylist()])
+                yield batch.filter(pa.array(sure))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the rows that aren't held out."""
     docs = docs.select("doc_id", "text", "lang")

@@ -11,7 +11,8 @@ within max_bits agree on some part p up to t_p bits. Each fingerprint is keyed b
 neighbours there), groups of equal keys are compared in blocks, candidates are verified on all 64 bits, and only a spanning
 star of each group's links leaves the task. Copies are one fingerprint, so they are never compared with each other.
 
-Null, empty and white-space texts have fingerprint zero and link like any other. A null doc_id keeps its row; it is never
+Null, empty and white-space texts have fingerprint zero and link like any other; very long texts are hashed whole; an empty
+table gives no rows. A null doc_id keeps its row; it is never
 chosen as component_id (null only where a component holds no other id). Repeated rows are linked through their fingerprint.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, combinations
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import binaries, block_counts, components, dealt, forest, read, runs_of, split_hot, whole_groups, written
+from .common import binaries, block_counts, components, dealt, forest, met, read, runs_of, split_hot, whole_groups, written
 
 #: Rows of a key's group that are compared in one task; a larger group is cut into blocks, every two of which meet.
 BLOCK_ROWS = 2048
-#: What a key costs to write and move, in comparisons; and the highest threshold of a part that is considered.
+#: What a key costs to write and move, in comparisons; and the highest threshold of a part that is considered, for links that
+#: are sure to be found and for those found with a given recall.
 KEY_COST = 200.0
 MOST_FLIPS = 3
+PROBED_FLIPS = 2
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -122,22 +126,31 @@ def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
 # --- parts and thresholds -----------------------------------------------------------------------------------------------
 
 
-def _bit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gram = np.zeros((64, 64))
-    for batch in batches:
-        fp = batch.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        bits = ((fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
-        gram += bits.T @ bits
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096, dtype=np.int32)), pa.array(gram.ravel().astype(np.int64))], names=["cell", "n"])
+def _bit_sums(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((len(names), 64, 64))
+        for batch in batches:
+            for s, name in enumerate(names):
+                fp = batch.column(name).to_numpy().astype(np.int64).view(np.uint64)
+                bits = ((fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
+                gram[s] += bits.T @ bits
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(gram.size, dtype=np.int32)), pa.array(gram.ravel().astype(np.int64))], names=["cell", "n"])
 
+    return run
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """How many fingerprints, and in how many of them each two bits are both set: 4096 numbers at any size."""
-    cells = fps.mapInArrow(_bit_sums, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    gram = np.zeros(4096)
+
+def stream_statistics(fps: DataFrame, names: list[str]) -> tuple[int, list[np.ndarray]]:
+    """How many fingerprints, and for each stream in how many of them each two bits are both set: 4096 numbers at any size."""
+    cells = fps.select(*names).mapInArrow(_bit_sums(names), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    gram = np.zeros(4096 * len(names))
     for r in cells:
         gram[r["cell"]] = r["n"]
-    return fps.count(), gram.reshape(64, 64)
+    return fps.count(), list(gram.reshape(-1, 64, 64))
+
+
+def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
+    n, (gram,) = stream_statistics(fps, ["fp"])
+    return n, gram
 
 
 def parts_of(n: int, gram: np.ndarray, m: int) -> list[list[int]]:
@@ -161,7 +174,8 @@ def parts_of(n: int, gram: np.ndarray, m: int) -> list[list[int]]:
 
 
 def _estimates(n: int, gram: np.ndarray, part: list[int], most: int, pairs: float, copies: int) -> list[float]:
-    """For thresholds 0 to most: the pairs within it on the part, by the bits' frequencies, and the keys to write."""
+    """For thresholds 0 to most: the pairs within it on the part, by the bits' frequencies, and the keys to write. pairs: how
+    many there are to tell apart; copies: how often each fingerprint is keyed."""
     p = np.diag(gram)[part] / max(n, 1)
     dist = np.array([1.0])
     for q in 2 * p * (1 - p):
@@ -170,7 +184,7 @@ def _estimates(n: int, gram: np.ndarray, part: list[int], most: int, pairs: floa
     for t in range(most + 1):
         keys += probes
         probes *= (len(part) - t) / (t + 1)
-        out.append(pairs * float(dist[: t + 1].sum()) + KEY_COST * copies * n * keys)
+        out.append(pairs * float(dist[: t + 1].sum()) + KEY_COST * copies * max(n, 1) * keys)
     return out
 
 
@@ -189,33 +203,70 @@ def thresholds(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best.get(total, (float("inf"), []))
 
 
-def plan(n: int, gram: np.ndarray, max_bits: int, pairs: float | None = None, copies: int = 1) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the parts to probe, of all numbers of parts the cheapest. pairs: how many there are to tell
-    apart, where other keys already part some; copies: how often each fingerprint is keyed for those."""
+def plan(n: int, gram: np.ndarray, max_bits: int) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the parts to probe, of all numbers of parts the cheapest."""
     options = []
     for m in range(1, max_bits + 3):
         parts = parts_of(n, gram, m)
         most = min(max_bits, MOST_FLIPS)
-        cost, ts = thresholds([_estimates(n, gram, p, most, n * n / 2 if pairs is None else pairs, copies) for p in parts], max_bits - m + 1)
+        cost, ts = thresholds([_estimates(n, gram, p, most, n * n / 2, 1) for p in parts], max_bits - m + 1)
         if np.isfinite(cost):
             options.append((cost, [(p, t) for p, t in zip(parts, ts, strict=True) if t >= 0]))
     return min(options, key=lambda o: o[0])[1]
 
 
+def caught(size: int, p: float, t: int) -> float:
+    """The chance that so many bits differ in t at most, each by itself with chance p."""
+    return sum(comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(t + 1))
+
+
+def by_recall(costs: list[list[float]], gains: list[list[float]], need: float, steps: int = 400) -> tuple[float, list[int]]:
+    """The thresholds, -1 or more each, with the least cost whose gains sum up to need; by dynamic programming over the sum, in
+    steps that are rounded down. Infinite cost where all thresholds together don't reach it."""
+    best = {0: (0.0, ())}
+    for cost, gain in zip(costs, gains, strict=True):
+        step: dict[int, tuple[float, tuple]] = {}
+        for got, (c, ts) in best.items():
+            for t in range(-1, len(cost)):
+                to = got if t < 0 else min(steps, got + int(gain[t] / need * steps))
+                new = (c + (cost[t] if t >= 0 else 0.0), (ts, t))
+                if to not in step or new[0] < step[to][0]:
+                    step[to] = new
+        best = step
+    if steps not in best:
+        return float("inf"), []
+    cost, ts = best[steps]
+    out = []
+    while ts:
+        ts, t = ts
+        out.append(t)
+    return cost, out[::-1]
+
+
+def plan_streams(n: int, grams: list[np.ndarray], p: float, miss: float, pairs: float, copies: int) -> list[tuple[int, list[int], int]]:
+    """(stream, bits, threshold) of the parts to probe, of all sizes of parts the cheapest: at most a share of `miss` of the
+    pairs whose bits differ each with chance p agrees on no probed part up to its threshold."""
+    options = []
+    for m in (3, 4, 5, 6, 8, 10, 12, 16):
+        parts = [(s, part) for s, gram in enumerate(grams) for part in parts_of(n, gram, m)]
+        costs = [_estimates(n, grams[s], part, PROBED_FLIPS, pairs, copies) for s, part in parts]
+        gains = [[-log(max(1 - caught(len(part), p, t), 1e-300)) for t in range(PROBED_FLIPS + 1)] for _, part in parts]
+        cost, ts = by_recall(costs, gains, -log(miss))
+        if np.isfinite(cost):
+            options.append((cost, [(s, part, t) for (s, part), t in zip(parts, ts, strict=True) if t >= 0]))
+    return min(options, key=lambda o: o[0])[1]
+
+
 # --- probe and verify ---------------------------------------------------------------------------------------------------
 
 
 def keyed(fps: DataFrame, parts: list[tuple[list[int], int]], more: list[str] = []) -> DataFrame:  # noqa: B006
     """part, key, own, fp and more columns: a row for each probed part and each neighbour within its threshold."""
-    signed = lambda bits: int(np.array([sum(1 << b for b in bits)], dtype=np.uint64).view(np.int64)[0])
-    rows = []
-    for k, (bits, t) in enumerate(parts):
-        mask = F.lit(signed(bits))
-        flips = [signed(c) for size in range(t + 1) for c in combinations(bits, size)]
-        for f in flips:
-            key = F.col("fp").bitwiseAND(mask).bitwiseXOR(F.lit(f))
-            rows.append(F.struct(F.lit(k).alias("part"), key.alias("key"), F.lit(f == 0).alias("own")))
-    return fps.select("fp", *more, F.explode(F.array(*rows)).alias("r")).select("r.part", "r.key", "r.own", "fp", *more)
+    signed = lambda bits: f"cast('{np.array([sum(1 << b for b in bits)], dtype=np.uint64).view(np.int64)[0]}' AS bigint)"
+    probes = [f"struct({k} AS part, {signed(bits)} AS mask, {signed(c)} AS flip)" for k, (bits, t) in enumerate(parts) for size in range(t + 1) for c in combinations(bits, size)]
+    out = fps.select("fp", *more, F.explode(F.expr(f"array({', '.join(probes)})")).alias("r"))  # one constant
+    key = F.col("fp").bitwiseAND(F.col("r.mask")).bitwiseXOR(F.col("r.flip"))
+    return out.select("r.part", key.alias("key"), (F.col("r.flip") == 0).alias("own"), "fp", *more)
 
 
 def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,25 +334,31 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, block
     marked, _ = written(with_fingerprints(docs, words))
     fps, _ = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_links(fps.select("fp"), max_bits, block_rows))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted, _ = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = met(rooted, lowest, ["root"], "fp").select("fp", "component_id")
+    return met(marked, ids, ["fp"], "doc_id").select("doc_id", "fp", "component_id")
 
 
 # --- near-dedup by similarity ---------------------------------------------------------------------------------------------
 
-#: Streams of 64 bits beside the probed one that candidates are compared on; and how many of all are probed, one by one.
+#: Streams of 64 bits beside the first; parts of all are probed, and candidates are compared on all.
 VERIFY_STREAMS = 4
-PROBED_STREAMS = 2
+#: The share of pairs at exactly the similarity that may be missed by all probes.
+MISSED = 5e-4
 #: What a row adds to its shingles in the size of a block of texts that are verified.
 ROW_WEIGHT = 500
 
 
+def differing(similarity: float) -> float:
+    """The chance that a bit differs between sets of shingles of this resemblance and of equal size; of others it is less."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def bits_at(similarity: float, bits: int, errors: float) -> int:
-    """How many of so many bits differ between sets of shingles of this resemblance (of equal size; others differ in fewer),
-    and so many standard errors more, so that pairs which have it exactly aren't lost to chance."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """How many of so many bits differ between sets of shingles of this resemblance, and so many standard errors more, so that
+    pairs which have it exactly aren't lost to chance."""
+    p = differing(similarity)
     return int(bits * p + errors * np.sqrt(bits * p * (1 - p)))
 
 
@@ -450,8 +507,10 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_r
     """The rows of docs, all columns, that are the first (by doc_id) of their group of near copies.
 
     Near copies: texts whose sets of shingles of `words` words have a resemblance (Jaccard) of `similarity` or more, and what
-    these link. Candidates come from 320 fingerprint bits, two times 64 of them probed; each component of candidates is then split by
-    links that are checked on the sets themselves, which are made again of its texts. Resemblance also bounds how far the
+    these link. Candidates come from 320 fingerprint bits: the parts of correlated bits that are probed, how long they are and
+    up to how many differing bits each, are what the dynamic programme finds cheapest for the number of documents, such that
+    at most a share of MISSED of the pairs at the similarity is lost. Each component of candidates is then split by links
+    that are checked on the sets themselves, which are made again of its texts. Resemblance also bounds how far the
     numbers of shingles lie apart, so only texts in the same or the next class of lengths meet. Texts of so few shingles that
     one is all they may differ in meet by their sets without one. Texts without words are copies of each other. Rows with a
     null doc_id stay. Of rows that repeat a doc_id and a text (its set) one stays; different texts under an id stay or go each."""
@@ -464,14 +523,15 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_r
     items, _ = written(marked.withColumn("cls", size).groupBy("node", "less", "n", "cls", "fp", *extra).agg(F.min("doc_id").alias("first")))
     per = {r["cls"]: r["n"] for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length class
     pairs = sum(k * (k / 2 + per.get(c + 1, 0)) for c, k in per.items())
-    max_bits, max_all = bits_at(similarity, 64, 2.0), bits_at(similarity, 64 * (1 + VERIFY_STREAMS), 4.0)
+    max_bits, max_all = bits_at(similarity, 64, 4.0), bits_at(similarity, 64 * (1 + VERIFY_STREAMS), 4.0)
     both = items.withColumn("grp", F.explode(F.array(F.col("cls") - 1, F.col("cls")))).withColumn("low", F.col("grp") == F.col("cls"))
     order, streams, keys, known = ["grp", "part", "key", "bi", "bj"], ["fp", *extra], [], 0
-    for s in range(PROBED_STREAMS):  # each in its turn takes the place of the first
+    n, grams = stream_statistics(items, streams)
+    probes = plan_streams(n, grams, differing(similarity), MISSED, pairs, 2)
+    for s in sorted({s for s, _, _ in probes}):  # each in its turn takes the place of the first
         turn = dict(zip(streams, streams[s:] + streams[:s], strict=True))
-        n, gram = bit_statistics(items.select(F.col(turn["fp"]).alias("fp")))
-        parts = plan(n, gram, max_bits, pairs, 2)
         turned = both.select("grp", "low", "node", *(F.col(t).alias(c) for c, t in turn.items()))
+        parts = [(bits, t) for own, bits, t in probes if own == s]
         keys.append(keyed(turned, parts, ["grp", "low", "node", *extra]).withColumn("part", F.col("part") + known))
         known += len(parts)
     keys = split_hot(reduce(DataFrame.union, keys), ["grp", "part", "key"], "node", block_rows)
