@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, written
-from .vectors import usable
+from .vectors import packed, unpacked, usable
 
 NEAREST = 20
 QUERY_EVERY = 20
@@ -132,7 +132,6 @@ def _based(rows: int, tables: int):
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 column = batch.column("embedding")
-                kind = "<f4" if pa.types.is_float32(column.type.value_type) else "<f8"
                 for d, (at, x) in usable(column)[1].items():
                     at, x = at[known[at]], x[known[at]]
                     if not len(at):
@@ -141,18 +140,12 @@ def _based(rows: int, tables: int):
                     band = np.clip(np.round(2 * np.log2(size)), -2000, 2000).astype(np.int64) + 2047
                     axes = axes_of(rows, d)
                     keys = np.stack([(d << 40) + (t << _TABLE) + (band << _BAND) + codes(unit, t, axes) for t in range(tables)], axis=1)
-                    raw = [r.tobytes() for r in np.ascontiguousarray(x, dtype=kind)]
                     lists = pa.ListArray.from_arrays(np.arange(0, len(at) * tables + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), d, np.int32)), pa.array(raw, pa.binary()), pa.array(size), lists], names=["vec_id", "d", "x", "size", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), d, np.int32)), pa.array(packed(x, column), pa.binary()), pa.array(size), lists], names=["vec_id", "d", "x", "size", "keys"])
 
     return run
 
 
-def matrix(raw: list[bytes], d: int) -> np.ndarray:
-    flat = b"".join(raw)
-    return np.frombuffer(flat, "<f4" if len(flat) == 4 * d * len(raw) else "<f8").reshape(len(raw), d).astype(float)
-
-
 def best_of(q: np.ndarray, v: np.ndarray, score: np.ndarray, k: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
     """The k best (query, id, score, ...) of each query, each id once."""
     order = np.lexsort([-score, v, q])
@@ -183,7 +176,7 @@ def _truth(sample: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int)
                 rows = np.flatnonzero(ds == d)
                 for s in range(0, len(rows), 4096):
                     some = rows[s : s + 4096]
-                    score = x @ matrix([raw[i] for i in some], d).T
+                    score = x @ unpacked([raw[i] for i in some], d).T
                     score[own[:, None] == ids[some][None, :]] = -np.inf
                     m = min(4 * k, len(some))
                     top = np.argpartition(-score, m - 1, axis=1)[:, :m]
@@ -276,7 +269,7 @@ def index(base: DataFrame, rows: int, k: int, query_every: int, tables: int, rec
     by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for d in {r["d"] for r in chosen}:
         number = np.array([i for i, r in enumerate(chosen) if r["d"] == d])
-        by[d] = (number, np.array([chosen[i]["vec_id"] for i in number]), matrix([bytes(chosen[i]["x"]) for i in number], d))
+        by[d] = (number, np.array([chosen[i]["vec_id"] for i in number]), unpacked([bytes(chosen[i]["x"]) for i in number], d))
     near: dict[int, list] = {}
     if chosen:
         own = base.sparkSession.sparkContext.broadcast(by)
@@ -347,7 +340,7 @@ def _asked(shared, need: int):
                 ds, ids, raw = batch.column("d").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("x").to_pylist()
                 for d in np.unique(ds).tolist():
                     at = np.flatnonzero(ds == d)
-                    unit, _ = unit_and_size(matrix([raw[i] for i in at], d))
+                    unit, _ = unit_and_size(unpacked([raw[i] for i in at], d))
                     for table, p, tau in shared.value[d].bounds(unit, need):
                         block, row, least = [], [], []
                         for i in range(len(at)):
@@ -377,7 +370,7 @@ class _Block:
         self.keys, self.bucket = np.unique(key, return_inverse=True)
         self.longest = own.longest[np.searchsorted(own.keys, self.keys)]
         self.ids = table.column("vec_id").to_numpy()
-        self.x = matrix(table.column("x").to_pylist(), self.d)
+        self.x = unpacked(table.column("x").to_pylist(), self.d)
         self.first = np.zeros(len(self.ids), dtype=bool)  # of rows that share an id, one
         self.first[np.unique(self.ids, return_index=True)[1]] = True
 
@@ -442,7 +435,7 @@ def _searched(shared, k: int):
                     block, held = _Block(held, shared), []
                 ids, tau, raw = part.column("vec_id").to_numpy(), part.column("tau").to_numpy(), part.column("x").to_pylist()
                 for c in range(0, len(ids), TILE_QUERIES):
-                    got = block.search(ids[c : c + TILE_QUERIES], matrix(raw[c : c + TILE_QUERIES], block.d), tau[c : c + TILE_QUERIES], k)
+                    got = block.search(ids[c : c + TILE_QUERIES], unpacked(raw[c : c + TILE_QUERIES], block.d), tau[c : c + TILE_QUERIES], k)
                     best.append(got)
                     pending += len(got[0])
                 if pending > 1_000_000:  # a task's best so far: k rows at most for each query in it, and not too many of them

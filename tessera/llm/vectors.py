@@ -29,11 +29,13 @@ def usable(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np
     return ok, by
 
 
-def packed(x: np.ndarray) -> list[bytes]:
-    return [r.tobytes() for r in np.ascontiguousarray(x, dtype="<f8")]
+def packed(x: np.ndarray, column: pa.Array | None = None) -> list[bytes]:
+    """Rows as bytes; of a column of single precision, in single precision."""
+    single = column is not None and pa.types.is_float32(column.type.value_type)
+    return [r.tobytes() for r in np.ascontiguousarray(x, dtype="<f4" if single else "<f8")]
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    """Rows of equal length."""
-    got = column.to_pylist()
-    return np.frombuffer(b"".join(got), "<f8").reshape(len(got), -1)
+def unpacked(raw: list[bytes], d: int) -> np.ndarray:
+    """Rows of length d, in double precision."""
+    flat = b"".join(raw)
+    return np.frombuffer(flat, "<f4" if len(flat) == 4 * d * len(raw) else "<f8").reshape(len(raw), d).astype(float)
