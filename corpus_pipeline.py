@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, line_dedup, packing, quality, simhash
-from tessera.llm.common import read, written
+from tessera.llm.common import dropped, read, scratch, written
 
 #: Language ID rejects `und`, and what it is less sure of than this.
 MIN_LANGUAGE_SCORE = 0.2
@@ -28,13 +28,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; lang stays as it came."""
     model = language.fit(docs.where(~language.held_out()))
-    found = language.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return language.keep_known(docs, model, MIN_LANGUAGE_SCORE)
 
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten or more of them have; n_chars follows the text."""
-    kept = line_dedup.line_dedup(docs).withColumn("text", F.col("kept_text"))
+    kept = line_dedup.without_frequent_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         kept = kept.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
@@ -64,7 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:  # of a stage, only its output stays, until the next one has read it
+            docs, path = written(stage(spark, docs, sf_dir))
+            keep.append(path)
+        if before:
+            dropped(spark, before)
+        before = path
     return docs
