@@ -1,16 +1,16 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A document is cut into chunks where a rolling hash of the last eight bytes has `chunk_bits` zero bits, so that documents which
-share a passage share its chunks wherever it stands. A worker encodes each distinct chunk once and keeps the ids of what lies
-between the chunk's first and last agreement point. An agreement point is a place between a character that is not white space
-and a space: no match of the pre-tokenizer spans it and none of its alternatives looks behind, so an encoding of the whole
-text and one that starts or ends there agree exactly. At each join, what is left of the one chunk and of the next is encoded
-again as one window; the window grows by whole chunks until it reaches such a point on either side, that is until both sides
-agree, which gives exactly the ids of the whole text. Beneath, the windows and chunks are made of segments between agreement
-points, whose ids a worker keeps in a pool of bounded size.
+share a passage share its chunks wherever it stands. A worker encodes each distinct chunk once, by itself, and keeps the ids of
+its segments (a segment starts at a space after a character that is not white space, both of the chunk). What lies before a
+chunk's first segment and after its last depends on its neighbours: at each join, that is encoded again together with the
+nearest whole segment on either side. If the ids come out as those segments have them, both encodings agree there and the join
+is repaired; if not, the window takes in twice as many segments, and so on until both ends agree or a side has no more. A chunk
+without whole segments is part of the join. Beneath, the segments' ids are kept in a pool of bounded size.
 
 Null text is the empty text: no ids, and it decodes to the empty text. Strings of special tokens inside a text become special
-tokens, as by the library's default.
+tokens, as by the library's default. Repeated rows are encoded each (their chunks once); an empty table gives no rows; very long
+texts are encoded chunk by chunk, whole.
 """
 
 from __future__ import annotations
@@ -129,6 +129,16 @@ class Pool(dict):
         return at
 
 
+def split(text: str) -> list[str]:
+    """What is before the first agreement point, and the segments that start at them, with their space. A space at the very
+    start is no such point: what is before it isn't known."""
+    if _SPACES.search(text):
+        return _AGREE.split(text)
+    parts = text.split(" ")
+    out = [parts[0], *(" " + p for p in parts[1:])]
+    return out[1:] if len(out) > 1 and not out[0] else out
+
+
 class Segments:
     def __init__(self, path: str):
         self.encoder = Encoder(path)
@@ -146,12 +156,8 @@ class Segments:
         """The segments of a text, or of a part of one that starts at an agreement point or at the text's start."""
         if not text:
             return []
-        if _SPACES.search(text):
-            first, *rest = _AGREE.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        return [self.bare[first], *map(self.spaced.__getitem__, rest)]
+        first, *rest = split(text)
+        return [self.bare[first], *(self.spaced[x[1:]] for x in rest)]
 
     def gather(self, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the segments in a row, and how many each has."""
@@ -214,31 +220,56 @@ def chunk_cuts(data: bytes, chunk_bits: int) -> list[int]:
     return (np.flatnonzero(cut & ((raw[8:] & 0xC0) != 0x80)) + 8).tolist()
 
 
+class Chunk:
+    """A chunk by itself: what precedes its first segment, the ids of whole segments and where each ends, what follows."""
+
+    __slots__ = ("data", "head", "ids", "ends", "tail", "first", "last")
+
+    def __init__(self, own: Segments, data: bytes):
+        parts = split(data.decode())
+        self.data, self.ends = data, None
+        if len(parts) < 3:
+            self.head, self.tail = data.decode(), ""
+            return
+        self.head, self.tail, self.first, self.last = parts[0], parts[-1], parts[1], parts[-2]
+        self.ids, n = own.gather([own.spaced[p[1:]] for p in parts[1:-1]])
+        self.ends = np.cumsum(n)
+
+    def segments(self) -> list[str]:
+        return split(self.data.decode())[1:-1]
+
+    def left(self, k: int) -> tuple[str, np.ndarray, int]:
+        """The last k segments: their text, the ids of the first of them, and how many ids come after that one."""
+        n = len(self.ends)
+        a, b = (int(self.ends[n - k - 1]) if k < n else 0), int(self.ends[n - k])
+        return self.last if k == 1 else "".join(self.segments()[n - k :]), self.ids[a:b], len(self.ids) - b
+
+    def right(self, k: int) -> tuple[str, np.ndarray, int]:
+        """The first k segments: their text, the ids of the last of them, and how many ids come before that one."""
+        a = int(self.ends[k - 2]) if k > 1 else 0
+        return self.first if k == 1 else "".join(self.segments()[:k]), self.ids[a : int(self.ends[k - 1])], a
+
+
 class Chunks:
-    """Kept chunks: bytes -> (what precedes the first agreement point, ids up to the last, what follows it)."""
+    """Kept chunks by their bytes, and the encoding of documents from them."""
 
-    def __init__(self, own: Segments, chunk_bits: int):
-        self.own, self.bits = own, chunk_bits
-        self.kept: dict[bytes, tuple[str, np.ndarray | None, str]] = {}
-        self.size = self.encoded = self.reused = 0
+    def __init__(self, own: Segments, chunk_bits: int, reuse: bool = True):
+        self.own, self.bits, self.reuse = own, chunk_bits, reuse
+        self.kept: dict[bytes, Chunk] = {}
+        self.size = self.encoded = self.reused = self.widened = 0
 
-    def chunk(self, data: bytes) -> tuple[str, np.ndarray | None, str]:
+    def chunk(self, data: bytes) -> Chunk:
         if (got := self.kept.get(data)) is not None:
             self.reused += 1
             return got
-        text = data.decode()
-        parts = _AGREE.split(text) if _SPACES.search(text) else [p if not k else " " + p for k, p in enumerate(text.split(" "))]
-        if len(parts) < 2 or len(parts) == 2 and not parts[0]:
-            got = (text, None, "")
-        else:
-            body = [self.own.spaced[p[1:]] for p in parts[1:-1]]
-            got = (parts[0], self.own.gather(body)[0], parts[-1])
+        got = Chunk(self.own, data)
         self.encoded += 1
-        self.size += 5 * len(data) + 200
-        if self.size > CHUNK_BYTES * 5:
-            self.kept.clear()
-            self.size = 0
-        self.kept[data] = got
+        if self.reuse:
+            self.size += 5 * len(data) + 400
+            if self.size > CHUNK_BYTES * 5:
+                self.kept.clear()
+                self.size = 0
+            self.kept[data] = got
         return got
 
     def clear(self) -> None:
@@ -247,26 +278,53 @@ class Chunks:
         self.size = 0
         self.own.clear()
 
-    def _window(self, text: str) -> np.ndarray:
-        return self.own.gather([self.own.spaced[text[1:]] if text[0] == " " else self.own.bare[text]])[0]
+    def _join(self, before: Chunk | None, rest: str, after: Chunk | None) -> tuple[int, np.ndarray, int]:
+        """How many ids of the chunk before go, the ids that come instead, and how many of the chunk after go."""
+        k = 1
+        while True:
+            left, right = (min(k, len(c.ends)) if c is not None else 0 for c in (before, after))
+            text, want, over = before.left(left) if left else ("", None, 0)
+            text2, want2, over2 = after.right(right) if right else ("", None, 0)
+            window = text + rest + text2
+            got = self.own.gather([self.own.bare[window]])[0] if window else np.zeros(0, np.uint32)
+            a, b = (0 if want is None else len(want)), len(got) - (0 if want2 is None else len(want2))
+            agree = a <= b and (want is None or np.array_equal(got[:a], want)) and (want2 is None or np.array_equal(got[b:], want2))
+            if agree:
+                return over, got[a:b], over2
+            self.widened += 1
+            if (before is None or left == len(before.ends)) and (after is None or right == len(after.ends)):
+                return (0 if before is None else len(before.ids)), got, (0 if after is None else len(after.ids))
+            k *= 2
 
     def encode(self, data: bytes) -> np.ndarray:
         if self.own.full():
             self.own.clear()
-        ends = [*chunk_cuts(data, self.bits), len(data)]
         out: list[np.ndarray] = []
-        rest, a = "", 0
-        for b in ends:
-            head, body, tail = self.chunk(data[a:b])
+        rest, a, before = "", 0, None
+        for b in [*chunk_cuts(data, self.bits), len(data)]:
+            chunk = self.chunk(data[a:b])
             a = b
-            rest += head
-            if body is not None:
-                if rest:
-                    out.append(self._window(rest))
-                out.append(body)
-                rest = tail
+            rest += chunk.head
+            if chunk.ends is None:
+                continue
+            if before is None and not rest:
+                skip = 0
+            else:
+                lost, ids, skip = self._join(before, rest, chunk)
+                if lost:
+                    if lost > len(out[-1]):  # a window over all of a chunk whose start was repaired before
+                        return np.array(self.own.encoder.encode(data.decode()), dtype=np.uint32)
+                    out[-1] = out[-1][: len(out[-1]) - lost]
+                out.append(ids)
+            out.append(chunk.ids[skip:])
+            rest, before = chunk.tail, chunk
         if rest:
-            out.append(self._window(rest))
+            lost, ids, _ = self._join(before, rest, None)
+            if lost:
+                if lost > len(out[-1]):
+                    return np.array(self.own.encoder.encode(data.decode()), dtype=np.uint32)
+                out[-1] = out[-1][: len(out[-1]) - lost]
+            out.append(ids)
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 

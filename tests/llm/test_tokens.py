@@ -136,6 +136,46 @@ def test_chunks_are_shared():
     assert own.encoded - made < made / 10 and own.reused > made / 2
 
 
+def test_joins_agree_by_ids(library):
+    """Cuts anywhere, also amid white space and special strings: the ids are those of the whole text."""
+    texts = ["a  b   c \n\n d", "x  " + " \n y", "one two  " + " three\t four", "a <|endoftext|> b<|endoftext|>", "  lead and trail  ", "word " * 60 + "  \n  " + "word " * 60]
+    own = bpe.Chunks(bpe.segments(bpe.tokenizer_path(FILE)), 10)
+    cuts, rng = bpe.chunk_cuts, random.Random(6)
+    try:
+        for text in texts:
+            data, want = text.encode(), library.encode(text, add_special_tokens=False).ids
+            for _ in range(150):
+                places = sorted(rng.sample(range(1, len(data)), rng.randint(0, min(6, len(data) - 1))))
+                bpe.chunk_cuts = lambda *_, places=places: places
+                assert own.encode(data).tolist() == want, (text, places)
+    finally:
+        bpe.chunk_cuts = cuts
+
+
+def test_joins_where_white_space_merges(tmp_path, library):
+    """A file with merges of longer runs of white space: windows grow until the ids agree."""
+    import json
+
+    spec = json.load(open(bpe.tokenizer_path(FILE), encoding="utf-8"))
+    space, newline = "\u0120", "\u010a"
+    top = max(spec["model"]["vocab"].values())
+    more = [(space, space), (space * 2, space * 2), (newline, space)]
+    for a, b in more:
+        if a + b not in spec["model"]["vocab"]:
+            top += 1
+            spec["model"]["vocab"][a + b] = top
+            spec["model"]["merges"].append([a, b] if isinstance(spec["model"]["merges"][0], list) else f"{a} {b}")
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(str(path))
+    own = bpe.Chunks(bpe.Segments(str(path)), 3)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "word", " ", "  ", "   ", "\n", "\n ", "\n  ", "1", ","]) for _ in range(120)) for _ in range(300)]
+    assert [own.encode(t.encode()).tolist() for t in texts] == [e.ids for e in exact.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pool_and_chunks_are_bounded(monkeypatch, library):
     monkeypatch.setattr(bpe, "POOL_SEGMENTS", 50)
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 100)
