@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,73 @@ def verify(parts: DataFrame) -> DataFrame:
     return parts.withColumn("status", status)
 
 
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
+    import xxhash
+
+    made = {"sha256": lambda raw: hashlib.sha256(raw).hexdigest(), "xxh3": lambda raw: xxhash.xxh3_64_hexdigest(raw)}
+    for batch in batches:
+        out = []
+        for claimed, raw in zip(batch.column("digest").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            how, _, value = (claimed or "").partition(":")
+            out.append("no_digest" if claimed is None else "other" if how not in made else "ok" if made[how](raw or b"") == value else "mismatch")
+        yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("part"), pa.array(out, pa.string())], names=["name", "part", "status"])
+
+
+def verify_any(parts: DataFrame) -> DataFrame:
+    """(name, part, status) by the digest's own algorithm, sha256 or xxh3: ok, mismatch, no_digest; other for algorithms that
+    aren't known. Spark has no XXH3, so contents go to Python in batches; each row is checked where it is."""
+    return parts.select("name", "part", "digest", "content").mapInArrow(_checked, "name string, part string, status string")
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The encoded key and value of each object."""
+    import json
+
+    from ..sources import cbor
+    from ..sources.container import attributes_from
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            parts = {p["part"]: {"dtype": p["dtype"], "digest": p["digest"]} | ({"type": p["logical"]} if p["logical"] is not None else {}) for p in r["parts"]}
+            obj = {"shape": [int(x) for x in r["shape"]], "layout": r["layout"], "parts": parts}
+            if r["attributes"] is not None:
+                obj["attributes"] = attributes_from(json.loads(r["attributes"]))
+            out.append(cbor.encode(r["name"]) + cbor.encode(obj))
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], names=["name", "raw"])
+
+
+def model_digest(objects: DataFrame, parts: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """digest: of what a model holds, as `id` prints it, whatever its layout in files; null if a part has no digest.
+
+    objects: name, shape, layout, attributes (JSON); parts: name, part, dtype, logical, digest. Objects are encoded in parallel;
+    one digest runs over them in the order of encoded keys, as the format wants it, so the encoded objects (not the tensors;
+    within the format's bound on a manifest) pass through one task as a stream."""
+    from ..sources import cbor
+    from ..sources.container import CONTENT_LABEL, hasher
+
+    own = parts.groupBy("name").agg(F.collect_list(F.struct("part", "dtype", "logical", "digest")).alias("parts"), F.bool_and(F.col("digest").isNotNull()).alias("whole"))
+    met = objects.select("name", "shape", "layout", "attributes").join(own, "name", "left")
+    n, whole = met.agg(F.count(F.lit(1)), F.coalesce(F.bool_and(F.coalesce("whole", F.lit(False))), F.lit(True))).first()
+    spark = objects.sparkSession
+    if not whole:
+        return spark.createDataFrame([(None,)], "digest string")
+    head = cbor.encode([CONTENT_LABEL, {}])[:-1] + cbor.map_head(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hasher(algorithm)
+        h.update(head)
+        for batch in batches:
+            for raw in batch.column("raw").to_pylist():
+                h.update(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{algorithm}:{h.hexdigest()}"])], names=["digest"])
+
+    made = met.select("name", "shape", "layout", "attributes", "parts").mapInArrow(_fragments, "name string, raw binary")
+    return made.withColumn("n", F.octet_length("name")).repartition(1).sortWithinPartitions("n", "name").select("raw").mapInArrow(run, "digest string")
+
+
 def verify_objects(objects: DataFrame, verified: DataFrame) -> DataFrame:
     """(name, status) of whole objects: a mismatch if any part has one, ok if all are; no parts or a part without: no_digest."""
     got = verified.groupBy("name").agg(F.bool_or(F.col("status") == "mismatch").alias("_bad"), F.bool_and(F.col("status") == "ok").alias("_ok"))
@@ -29,8 +99,7 @@ def verify_objects(objects: DataFrame, verified: DataFrame) -> DataFrame:
 def shared_blobs(blobs: DataFrame) -> DataFrame:
     """(name, part, holder): for each blob the first name, in blob order, that has the same content.
 
-    Grouped by digest and length; equal digests are confirmed by comparing the content with the holder's. The content is
-    read again for that by a join on the holder, and isn't shuffled for groups of one."""
+    Grouped by a 256-bit digest and length, without the content; unequal_shares compares the contents themselves."""
     keyed = blobs.select("name", "part", F.sha2("content", 256).alias("_d"), F.octet_length("content").alias("_n"))
     first = keyed.groupBy("_d", "_n").agg(F.min(F.struct("name", "part")).alias("holder"), F.count(F.lit(1)).alias("copies"))
     return keyed.join(first, ["_d", "_n"]).select("name", "part", F.col("holder.name").alias("holder"), "copies", F.col("_n").alias("length"))

@@ -297,6 +297,26 @@ def dedup_confirmed(spark, folder):
     return identity.unequal_shares(blobs, identity.shared_blobs(blobs))
 
 
+@query("""WITH d AS (SELECT 'doc/' || doc_id AS name, coalesce(text, '') AS t FROM documents), h AS (SELECT *, octet_length(encode(t)) AS n FROM d),
+f AS (SELECT n, min(name) AS holder FROM h GROUP BY n) SELECT h.name, 'data' AS part, f.holder FROM h JOIN f USING (n) JOIN h AS o ON o.name = f.holder WHERE h.t <> o.t""")
+def dedup_refuted(spark, folder):
+    """Blobs that a weak key, the length alone, would share with a holder of other content: the comparison tells them."""
+    blobs = tables.document_blobs(spark, folder)
+    holder = blobs.groupBy("length").agg(F.min("name").alias("holder"))
+    return identity.unequal_shares(blobs, blobs.join(holder, "length").select("name", "part", "holder"))
+
+
+@query("""SELECT CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'doc/' || doc_id END AS name, NULL::VARCHAR AS part, 'Name' AS rule FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT 'doc/' || doc_id, repeat('p', 1025), 'Name' FROM documents WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0""")
+def name_violations(spark, folder):
+    """Objects without a name, and parts whose name is too long."""
+    src = tables.read(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).alias("name"))
+    objects = src.select("name", F.array(F.lit(1).cast(U64)).alias("shape"), F.lit("dense").alias("layout"))
+    part = F.when((F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 5 != 0), F.repeat(F.lit("p"), 1025)).otherwise("data")
+    parts = src.where("name <> ''").select("name", part.alias("part"), F.lit("u8").alias("dtype"), F.lit(None).cast("string").alias("logical"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("long").alias("decoded_length"), F.lit(1).cast("long").alias("length"))
+    return catalog.metadata_violations(objects, parts)
+
+
 @query("""WITH g AS (SELECT text, count(*) AS c, octet_length(encode(coalesce(text, ''))) AS n FROM documents GROUP BY text)
 SELECT sum(c)::BIGINT AS blobs, count(*) AS distinct_blobs, sum(c * n)::BIGINT AS bytes, sum(n)::BIGINT AS distinct_bytes FROM g""")
 def dedup_ratio(spark, folder):

@@ -80,3 +80,15 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 def session_window(spark, folder):
     got = windows.sessions(tables.read(spark, folder, "events"))
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)""")
+def anti_join_filtered(spark, folder):
+    orders = tables.read(spark, folder, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 200000")
+    return tables.read(spark, folder, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("""SELECT n_nationkey AS nationkey, n_regionkey AS regionkey FROM nation EXCEPT SELECT n_nationkey, 0 FROM nation""")
+def except_pairs(spark, folder):
+    nation = tables.read(spark, folder, "nation")
+    return nation.select(F.col("n_nationkey").alias("nationkey"), F.col("n_regionkey").alias("regionkey")).subtract(nation.select("n_nationkey", F.lit(0).alias("n_regionkey")))

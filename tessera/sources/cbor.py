@@ -66,6 +66,11 @@ def encode(value, depth: int = 0) -> bytes:
     raise InvalidInput(f"no encoding for {type(value).__name__}")
 
 
+def map_head(n: int) -> bytes:
+    """The start of a map of n pairs, which follow in the order of their encoded keys."""
+    return _head(5, n)
+
+
 class _Reader:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0

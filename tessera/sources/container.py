@@ -4,7 +4,10 @@ Only what is asked for is read: opening takes the footer and the manifest, a par
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import math
 import os
 import re
 import struct
@@ -86,6 +89,40 @@ def check_attributes(value) -> None:
         check_name(k)
 
 
+def attributes_text(value: dict | None) -> str | None:
+    """Attributes as JSON; what JSON lacks (bytes, numbers that aren't finite, keys that aren't text) is spelt as a one-key map."""
+    if value is None:
+        return None
+
+    def plain(x):
+        if isinstance(x, (bytes, bytearray)):
+            return {"$bytes": base64.b64encode(x).decode()}
+        if isinstance(x, float) and not math.isfinite(x):
+            return {"$float": repr(x)}
+        if isinstance(x, dict):
+            if all(isinstance(k, str) for k in x) and not (len(x) == 1 and next(iter(x)).startswith("$")):
+                return {k: plain(v) for k, v in x.items()}
+            return {"$map": [[plain(k), plain(v)] for k, v in x.items()]}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+    return json.dumps(plain(value), ensure_ascii=False)
+
+
+def attributes_from(value):
+    """The value that attributes_text spelt, from parsed JSON."""
+    if isinstance(value, dict):
+        if len(value) == 1:
+            kind, x = next(iter(value.items()))
+            if kind == "$bytes":
+                return base64.b64decode(x)
+            if kind == "$float":
+                return float(x)
+            if kind == "$map":
+                return {attributes_from(k): attributes_from(v) for k, v in x}
+        return {k: attributes_from(v) for k, v in value.items()}
+    return [attributes_from(v) for v in value] if isinstance(value, list) else value
+
+
 def check_digest(text) -> None:
     _must(isinstance(text, str) and _DIGEST.match(text) is not None, "Schema", "digest")
 

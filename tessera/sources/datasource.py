@@ -1,20 +1,23 @@
 """`format("tensorfile")`: tensor files as DataFrames, and DataFrames as tensor files.
 
-Two relations, because a Python source has no column pruning: `parts` (the default) is metadata only and reads footers and
-manifests; `blobs` has the content too. The option `name` reads one object only; it is an option and no pushed filter, because Spark keeps a Python
-reader's pushed filters with the DataFrame, where they would hold for its later queries too. Writing makes a data shard for each task and,
-on commit, a root whose manifest refers to them by name, size and digest; until the root is moved into place nothing is
-published, and shards of failed attempts are removed.
+Three relations, because a Python source has no column pruning: `parts` (the default) is metadata only and reads footers and
+manifests; `blobs` has the content too; `files` has a row for each file. The content of a large file is read by several tasks,
+each with its share of the objects. The option `name` reads one object only; it is an option and no pushed filter, because Spark
+keeps a Python reader's pushed filters with the DataFrame, where they would hold for its later queries too. Writing makes a data
+shard for each task and, on commit, a root whose manifest refers to them by name, size and digest; until the root is moved into
+place nothing is published, and shards of failed attempts are removed.
 
 Tasks open paths themselves, so on a cluster they must be on storage that is mounted on all nodes."""
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -22,14 +25,28 @@ from pyspark.sql.types import StructType
 from ..model import InvalidInput, NotFound, Rejected, Unsupported
 from . import container, foreign
 
-PARTS = "path string, format string, name string, part string, shape array<decimal(20,0)>, layout string, dtype string, logical string, shard string, offset bigint, length bigint, encoding string, decoded_length bigint, digest string, payload_kind string, status string"
+PARTS = "path string, format string, name string, part string, shape array<decimal(20,0)>, layout string, dtype string, logical string, shard string, offset bigint, length bigint, encoding string, decoded_length bigint, digest string, payload_kind string, attributes string, status string"
 BLOBS = "path string, name string, part string, dtype string, logical string, length bigint, content binary, status string"
+FILES = "path string, format string, size bigint, attributes string, objects bigint, shards array<string>, status string"
+#: Bytes of content, about, that a task reads of one file.
+TASK_BYTES = 128 << 20
 
 
 @dataclass
 class _File(InputPartition):
     path: str
-    names: list[str] = field(default_factory=list)
+    share: int = 0
+    shares: int = 1
+
+
+def _content_bytes(path: str) -> int:
+    """Bytes of a file and of the shards that its manifest names."""
+    size = os.path.getsize(path)
+    try:
+        _, manifest = container.manifest_of(*container.file_reader(path))
+    except (Rejected, Unsupported):
+        return size
+    return size + sum(e["size"] for e in (manifest or {}).get("shards", {}).values())
 
 
 def _files(path: str) -> list[str]:
@@ -46,7 +63,13 @@ class _Reader(DataSourceReader):
         self.strict, self.only = options.get("mode", "strict") == "strict", options.get("name")
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [_File(f) for f in self.files]
+        if self.relation != "blobs" or self.only is not None:
+            return [_File(f) for f in self.files]
+        out = []
+        for f in self.files:
+            n = max(1, -(-(_content_bytes(f) if len(self.files) <= 64 else os.path.getsize(f)) // TASK_BYTES))
+            out += [_File(f, k, n) for k in range(n)]
+        return out
 
     def read(self, partition: _File) -> Iterator[tuple]:
         from decimal import Decimal
@@ -58,17 +81,22 @@ class _Reader(DataSourceReader):
         except (Rejected, Unsupported, InvalidInput, NotFound) as e:
             if self.strict:
                 raise
-            yield (path, *(None,) * (14 if self.relation == "parts" else 6), getattr(e, "rule", type(e).__name__))
+            if partition.share == 0:
+                yield (path, *(None,) * ({"parts": 15, "blobs": 6, "files": 5}[self.relation]), getattr(e, "rule", type(e).__name__))
+            return
+        if self.relation == "files":
+            manifest = source.manifest or {}
+            yield (path, form, os.path.getsize(path), container.attributes_text(source.attributes), len(source.objects), sorted(manifest.get("shards", {})), "ok")
             return
         names = [self.only] if self.only is not None and self.only in source else [] if self.only is not None else source.names()
-        for name in names:
+        for name in self._share(source, names, partition):
             obj = source.tensor(name)
             for role in sorted(obj["parts"], key=str.encode):
                 p = obj["parts"][role]
                 at, n = p["blob"]
                 if self.relation == "parts":
                     kind = "Opaque" if name in getattr(source, "decoders", {}) else "Encoded" if "encoding" in p else "At"
-                    yield (path, form, name, role, [Decimal(x) for x in obj["shape"]], obj["layout"], p["dtype"], p.get("type"), p.get("shard"), at, n, p.get("encoding"), p.get("decoded_length"), p.get("digest"), kind, "ok")
+                    yield (path, form, name, role, [Decimal(x) for x in obj["shape"]], obj["layout"], p["dtype"], p.get("type"), p.get("shard"), at, n, p.get("encoding"), p.get("decoded_length"), p.get("digest"), kind, container.attributes_text(obj.get("attributes")), "ok")
                     continue
                 try:
                     raw, status = source.bytes(name, role), "ok"
@@ -79,6 +107,20 @@ class _Reader(DataSourceReader):
                 yield (path, name, role, p["dtype"], p.get("type"), len(raw) if raw is not None else None, raw, status)
 
 
+    @staticmethod
+    def _share(source, names: list[str], partition: _File) -> Iterator[str]:
+        """The objects whose bytes begin in a task's share of all bytes."""
+        if partition.shares == 1:
+            yield from names
+            return
+        sizes = [sum(p["blob"][1] for p in source.tensor(n)["parts"].values()) for n in names]
+        total, before = max(sum(sizes), 1), 0
+        for name, size in zip(names, sizes, strict=True):
+            if min(before * partition.shares // total, partition.shares - 1) == partition.share:
+                yield name
+            before += size
+
+
 @dataclass
 class _Shard(WriterCommitMessage):
     path: str | None
@@ -89,12 +131,14 @@ class _Shard(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Rows of name, dtype, shape and content, and if given logical, as dense tensors."""
+    """Rows of name, dtype, shape and content, and if given logical, part, layout, encoding and attributes (JSON); the parts of
+    an object are rows in a row."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.overwrite, self.run = options["path"], overwrite, uuid.uuid4().hex[:8]
         self.columns = schema.fieldNames()
         self.align = int(options.get("align", container.CANONICAL))
+        self.attributes = options.get("attributes")
         if missing := {"name", "dtype", "shape", "content"} - set(self.columns):
             raise InvalidInput(f"columns {sorted(missing)} are missing")
         if not self.path.endswith(".zt"):
@@ -108,9 +152,16 @@ class _Writer(DataSourceWriter):
         path = container.beside(self.path)(name, {})
         w = container.Writer(path, canonical=False, align=self.align)
         try:
-            for row in rows:
-                r = row.asDict()
-                w.add(r["name"], [int(x) for x in r["shape"]], r["dtype"], bytes(r["content"]), type=r.get("logical"))
+            for own, group in groupby((row.asDict() for row in rows), lambda r: r["name"]):
+                first, parts = None, {}
+                for r in group:
+                    first = first or r
+                    role = r.get("part") or "data"
+                    if role in parts:
+                        raise Rejected("NameCollision", f"{own}/{role}")
+                    parts[role] = container.part(r["dtype"], bytes(r["content"]), type=r.get("logical"), encoding=r.get("encoding"))
+                attributes = container.attributes_from(json.loads(first["attributes"])) if first.get("attributes") else None
+                w.object(own, [int(x) for x in first["shape"]], first.get("layout") or "dense", parts, attributes)
             objects = {n: o | {"parts": {k: p | {"shard": name} for k, p in o["parts"].items()}} for n, o in w.objects.items()}
             if not objects:
                 w.abandon()
@@ -128,6 +179,8 @@ class _Writer(DataSourceWriter):
             raise InvalidInput(f"{self.path} is there already")
         w = container.Writer(self.path, canonical=False, align=self.align)
         try:
+            if self.attributes:
+                w.set_attributes(container.attributes_from(json.loads(self.attributes)))
             for m in messages:
                 if m is None or m.path is None:
                     continue
@@ -155,12 +208,12 @@ class TensorFile(DataSource):
 
     def _relation(self) -> str:
         got = self.options.get("relation", "parts")
-        if got not in ("parts", "blobs"):
+        if got not in ("parts", "blobs", "files"):
             raise InvalidInput(f"relation {got}")
         return got
 
     def schema(self) -> str:
-        return PARTS if self._relation() == "parts" else BLOBS
+        return {"parts": PARTS, "blobs": BLOBS, "files": FILES}[self._relation()]
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options), self._relation())

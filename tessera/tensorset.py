@@ -15,8 +15,8 @@ from .sources import container, datasource, foreign
 
 
 class TensorSet:
-    """objects (name, shape, layout, attributes), parts (name, part, dtype, logical, store_id, offset, length, encoding,
-    decoded_length, digest, payload_kind), stores (store_id, path, size, format), and if they are at hand blobs (name, part,
+    """objects (name, shape, layout, attributes as JSON), parts (name, part, dtype, logical, store_id, offset, length, encoding,
+    decoded_length, digest, payload_kind), stores (store_id, path, size, format, attributes), and if they are at hand blobs (name, part,
     content)."""
 
     def __init__(self, objects: DataFrame, parts: DataFrame, stores: DataFrame, blobs: DataFrame | None = None):
@@ -36,15 +36,29 @@ class TensorSet:
         """Files of any readable format as one namespace; only their headers are read here. Paths lie on shared storage."""
         datasource.register(spark)
         joined = ",".join(paths)
-        meta = spark.read.format("tensorfile").option("path", joined).load()
-        ids = spark.createDataFrame([(i, p, *_about(p)) for i, p in enumerate(f for p in paths for f in datasource._files(p))], "store_id int, path string, size long, format string")
-        parts = meta.join(ids.select("store_id", "path"), "path").drop("path", "status", "format")
+        load = lambda relation: spark.read.format("tensorfile").option("path", joined).option("relation", relation).load()
+        meta = load("parts")
+        order = spark.createDataFrame(list(enumerate(f for p in paths for f in datasource._files(p))), "store_id int, path string")
+        stores = order.join(load("files").drop("status"), "path").select("store_id", "path", "size", "format", "attributes")
+        parts = meta.join(order, "path").drop("path", "status", "format", "attributes")
         clash = meta.select("path", "name").distinct().groupBy("name").count().where("count > 1").first()
         if clash is not None:
             raise Rejected("NameCollision", clash["name"])
-        objects = meta.groupBy("name").agg(F.first("shape").alias("shape"), F.first("layout").alias("layout"), F.lit(None).cast("string").alias("attributes"))
-        blobs = spark.read.format("tensorfile").option("path", joined).option("relation", "blobs").load()
-        return cls(objects, parts.drop("shape", "layout"), ids, blobs.select("name", "part", "content"))
+        objects = meta.groupBy("name").agg(F.first("shape").alias("shape"), F.first("layout").alias("layout"), F.first("attributes").alias("attributes"))
+        return cls(objects, parts.drop("shape", "layout"), stores, load("blobs").select("name", "part", "content"))
+
+    def attributes(self) -> str | None:
+        """The attributes of the first file that has some, as JSON."""
+        got = self.stores.where("attributes IS NOT NULL").orderBy("store_id").select("attributes").first()
+        return got[0] if got else None
+
+    def provenance(self) -> DataFrame:
+        """(name, path, format): which file each object came from."""
+        return self.parts.select("name", "store_id").distinct().join(self.stores, "store_id").select("name", "path", "format")
+
+    def digest(self, algorithm: str = "sha256") -> str | None:
+        """What the tensors hold, whatever files they lie in; None if a part has no digest."""
+        return identity.model_digest(self.objects, self.parts, algorithm).first()["digest"]
 
     def names(self) -> DataFrame:
         return self.objects.select("name").orderBy("name")
@@ -83,10 +97,8 @@ class TensorSet:
         return parts.select("name", "part").join(self.blobs, ["name", "part"])
 
     def verify(self) -> DataFrame:
-        """(name, part, status); digests other than sha256 are checked by the file's own reader, here they are `other`."""
-        met = self.parts.select("name", "part", "digest").join(self.bytes(), ["name", "part"])
-        mine = F.col("digest").isNull() | F.col("digest").startswith("sha256:")
-        return identity.verify(met).withColumn("status", F.when(mine, F.col("status")).otherwise("other")).select("name", "part", "status")
+        """(name, part, status) by each digest's own algorithm; `other` where that isn't known."""
+        return identity.verify_any(self.parts.select("name", "part", "digest").join(self.bytes(), ["name", "part"]))
 
     def merge(self, *others: TensorSet) -> TensorSet:
         """One namespace; a name in two sets is a collision, and store ids of later sets move up."""
@@ -102,17 +114,27 @@ class TensorSet:
         return TensorSet(objects, parts, stores, blobs)
 
     def write(self, path: str, align: int = container.CANONICAL) -> None:
-        """All dense objects as a native root with a data shard for each task."""
-        rows = self.objects.where("layout = 'dense'").select("name", "shape").join(self.parts.select("name", "part", "dtype", "logical"), "name").join(self.bytes(), ["name", "part"])
-        out = rows.select("name", "dtype", F.transform("shape", lambda x: x.cast("long")).alias("shape"), F.coalesce("content", F.lit(b"")).alias("content"), "logical")
+        """All objects, of any layout, with their parts, encodings and attributes, as a native root with a data shard for each
+        task. Bytes are joined last; the parts of an object meet in one task."""
+        own = self.objects.select("name", F.transform("shape", lambda x: x.cast("long")).alias("shape"), "layout", "attributes")
+        rows = own.join(self.parts.select("name", "part", "dtype", "logical", "encoding"), "name").join(self.bytes(), ["name", "part"])
+        out = rows.withColumn("content", F.coalesce("content", F.lit(b""))).repartition("name").sortWithinPartitions("name", "part")
         datasource.register(rows.sparkSession)
-        out.write.format("tensorfile").option("path", path).option("align", str(align)).mode("append").save()
+        to = out.write.format("tensorfile").option("path", path).option("align", str(align))
+        if "attributes" in self.stores.columns and (file_attributes := self.attributes()):
+            to = to.option("attributes", file_attributes)
+        to.mode("append").save()
+
 
+def index(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, format, size, attributes, objects, shards, status) of files, without their tensors."""
+    datasource.register(spark)
+    return spark.read.format("tensorfile").option("path", ",".join(paths)).option("relation", "files").option("mode", "permissive").load()
 
-def _about(path: str) -> tuple[int, str]:
-    import os
 
-    return os.path.getsize(path), foreign.detect(path)
+def page_size() -> int:
+    """What offsets are multiples of, and pages of a file are counted in."""
+    return FLOOR
 
 
 class Arrays(Mapping):

@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog_queries, spark_native
+from tessera.plans import catalog_queries, file_queries, spark_native
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = {**catalog_queries.QUERIES, **spark_native.QUERIES}, {**catalog_queries.SQL, **spark_native.SQL}
+QUERIES = {**catalog_queries.QUERIES, **file_queries.QUERIES, **spark_native.QUERIES}
+SQL = {**catalog_queries.SQL, **file_queries.SQL, **spark_native.SQL}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
