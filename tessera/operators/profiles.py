@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import e8m0_value, f4_value, nibbles
 from ..model import Unsupported
 
-#: numpy's little-endian types of what Spark has no own binary decoding for; bf16 is widened by hand.
+# numpy's little-endian types of what Spark has no own binary decoding for; bf16 is widened by hand.
 _NUMPY = {"f64": "<f8", "f32": "<f4", "f16": "<f2", "bf16": "<u2", "i64": "<i8", "i32": "<i4", "i16": "<i2", "i8": "i1", "u64": "<u8", "u32": "<u4", "u16": "<u2", "u8": "u1"}
 
 

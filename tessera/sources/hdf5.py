@@ -29,7 +29,7 @@ class _File:
     def number(self, at: int, size: int) -> int:
         return int.from_bytes(self.raw(at, size), "little")
 
-    def spend(self) -> None:
+    def visit(self) -> None:
         self.nodes += 1
         if self.nodes > MAX_NODES:
             raise InvalidInput("hdf5: too many nodes")
@@ -42,7 +42,7 @@ class _File:
             raise InvalidInput("hdf5: object header")
         count, blocks = self.number(at + 2, 2), [(at + 16, self.number(at + 8, 4))]
         while blocks and count > 0:
-            self.spend()
+            self.visit()
             pos, size = blocks.pop(0)
             end = pos + size
             while pos + 8 <= end and count > 0:
@@ -60,7 +60,7 @@ class _File:
         names, size = self.number(heap + 24, 8), self.number(heap + 8, 8)
         todo = [tree]
         while todo:
-            self.spend()
+            self.visit()
             at = todo.pop(0)
             if self.raw(at, 4) == b"TREE":
                 used = self.number(at + 6, 2)
@@ -159,7 +159,7 @@ def _chunks(f: _File, tree: int, rank: int):
     """(coordinates, address, stored size, skipped filters) of the leaves of a chunk tree."""
     todo, key = [tree], 8 + 8 * (rank + 1)
     while todo:
-        f.spend()
+        f.visit()
         at = todo.pop()
         if f.raw(at, 4) != b"TREE" or f.number(at + 4, 1) != 1:
             raise InvalidInput("hdf5: chunk node")
@@ -173,22 +173,30 @@ def _chunks(f: _File, tree: int, rank: int):
                 yield tuple(f.number(pos + 8 + 8 * d, 8) for d in range(rank)), child, f.number(pos, 4), f.number(pos + 4, 4)
 
 
-def _assembled(f: _File, tree: int, shape: list[int], chunk: list[int], width: int, filters) -> bytes:
-    total = math.prod(shape) * width
-    if total > MAX_ALLOC or not chunk or 0 in chunk or len(chunk) != len(shape):
+def _placed(f: _File, tree: int, shape: list[int], chunk: list[int], width: int) -> list[tuple]:
+    """The chunks (place, address, stored size, skipped filters) of a dataset, which cover all of it; nothing is decoded."""
+    if math.prod(shape) * width > MAX_ALLOC or not chunk or 0 in chunk or len(chunk) != len(shape):
         raise InvalidInput("hdf5: chunked shape")
-    out = np.zeros([*shape, width], np.uint8)
-    seen = set()
+    out, seen = [], set()
     for at, address, stored, skip in _chunks(f, tree, len(shape)) if tree != _NONE else ():
         if any(a % c or a >= s for a, c, s in zip(at, chunk, shape, strict=True)) or at in seen:
             raise InvalidInput("hdf5: a chunk's place")
+        f.raw(address, stored)
         seen.add(at)
-        raw = _unfiltered(f.raw(address, stored), filters, skip, width, math.prod(chunk) * width)
+        out.append((at, address, stored, skip))
+    if len(seen) != math.prod(-(-s // c) for s, c in zip(shape, chunk, strict=True)):
+        raise Unsupported("hdf5: chunks are missing, and nothing is filled in")
+    return out
+
+
+def _assembled(read, placed: list[tuple], shape: list[int], chunk: list[int], width: int, filters) -> bytes:
+    """The dataset's bytes, from its chunks' ranges of the file."""
+    out = np.zeros([*shape, width], np.uint8)
+    for at, address, stored, skip in placed:
+        raw = _unfiltered(read(address, stored), filters, skip, width, math.prod(chunk) * width)
         block = np.frombuffer(raw, np.uint8).reshape([*chunk, width])
         keep = tuple(slice(0, min(c, s - a)) for a, c, s in zip(at, chunk, shape, strict=True))
         out[tuple(slice(a, a + k.stop) for a, k in zip(at, keep, strict=True))] = block[keep]
-    if len(seen) != math.prod(-(-s // c) for s, c in zip(shape, chunk, strict=True)):
-        raise Unsupported("hdf5: chunks are missing, and nothing is filled in")
     return out.tobytes()
 
 
@@ -202,8 +210,8 @@ def _dataset(out: Foreign, f: _File, name: str, messages: list) -> None:
     form, at, more = _layout(f, *found[8])
     length = math.prod(shape) * width
     if form == "chunked":
-        made = _assembled(f, at, shape, more, width, filters)
-        out.put(name, shape, kind, None, length, lambda: made)
+        placed, read = _placed(f, at, shape, more, width), out.read[None]
+        out.put(name, shape, kind, None, length, lambda: _assembled(read, placed, shape, more, width, filters))
         return
     if filters or more is not None and more != length:
         raise InvalidInput(f"hdf5: {name!r} has {more} bytes, its shape needs {length}")
