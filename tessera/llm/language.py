@@ -7,9 +7,9 @@ listed there is a family of its own. Of each level, the class with the most pair
 margins, then by name. The score is the product of the two levels' least confidences, each a logistic function of the margin
 in units of that machine's usual margin.
 
-Learning uses text and non-null lang only, of rows that aren't held out, up to SAMPLE documents (about) of each language by a
-hash of doc_id; the whole text of each. Null texts and texts without a letter are `und` with score 0. Empty tables, or none
-with a language, make every text `und`. With one language learned, every text with a letter gets it with score 1.
+Learning uses text and non-null lang only, of rows that aren't held out, up to SAMPLE documents (about) of each of the LANGUAGES
+most frequent languages by a hash of doc_id and text; the whole text of each, equal texts of a language once. Null texts and texts without a letter are `und` with score 0. Empty tables, or none
+with a language, make every text `und`. Repeated rows are judged each, very long texts whole. With one language learned, every text with a letter gets it with score 1.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import binaries, read
 
-#: Documents of a language that the machines learn from.
+#: Documents of a language that the machines learn from, about, and languages that are learned at most, the most frequent ones.
 SAMPLE = 500
+LANGUAGES = 64
 
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -154,12 +155,13 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     """From the rows given that have a language."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    shares = [(r["lang"], min(1.0, sample / r["n"])) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    shares = [(r["lang"], min(1.0, sample / r["n"])) for r in sizes]
     if not shares:
         return None
-    share = F.coalesce(*(F.when(F.col("lang") == g, F.lit(p)) for g, p in shares))
+    share = F.coalesce(*(F.when(F.col("lang") == g, F.lit(p)) for g, p in shares), F.lit(0.0))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary").toArrow()
+    rows = chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary").distinct().toArrow()
     if not rows.num_rows:
         return None
     # the order of rows mustn't matter: they are sorted by language and vector, on the driver, where the sample is bounded

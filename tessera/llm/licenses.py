@@ -8,7 +8,9 @@ places is kept, and the gaps between anchors are aligned recursively, after thei
 the share of the template's words that are matched in a window with a quarter more words than the template on either side.
 
 Whole texts are scanned; each template reports its best coverage in a document, the first such place. Null and empty texts
-have no license; repeated rows are scanned each.
+have no license; repeated rows are scanned each; an empty table gives no rows. Very long texts are indexed once, by word, and
+every window around a rare word is aligned. Templates of a license that are covered by equally many words: the one covered
+more, then the first; licenses found are ordered by words, coverage, name.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ class Scanner:
         self.templates = [(name, words) for name, text in templates if (words := words_of(text))]
         marks = {(name, text): mark for name, text, mark in MARKS}
         self.marks = [words_of(marks.get((name, text)) or marks.get((name, ""), "")) for name, text in templates if words_of(text)]
-        self.sets = [frozenset(w) for _, w in self.templates]
+        self.vocabulary = frozenset(w for _, words in self.templates for w in words)
         self.counts = [Counter(w) for _, w in self.templates]
 
     def best(self, words: list[str], present: set[str], places: dict[str, list[int]], t: int, mark: list[str] | None = None) -> tuple[int, int, int] | None:
@@ -148,9 +150,13 @@ class Scanner:
         need = max(1, -int(-self.min * n // 1))
         if sum(c for w, c in counts.items() if w in present) < need:
             return None
-        for w in counts:
-            if w in present and w not in places:
-                places[w] = [i for i, x in enumerate(words) if x == w]
+        missing = {w for w in counts if w in present and w not in places}
+        if missing:  # one pass over the text for all templates' words
+            wanted = missing | (self.vocabulary & present)
+            places.update((w, []) for w in wanted if w not in places)
+            for i, x in enumerate(words):
+                if x in wanted:
+                    places[x].append(i)
         order = sorted(range(n), key=lambda i: (len(places.get(template[i], ())), i))
         slack = n // 4 + 1
         windows = set()

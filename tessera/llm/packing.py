@@ -8,7 +8,8 @@ greedily, the longest first and always with the longest that still fits. The his
 size and is all that the driver sees of the documents. A piece's place follows from its number among the pieces of its length:
 its task's share before it (a prefix sum over tasks) and its count within the task.
 
-Null and empty texts are the end id alone. Repeated rows are packed each for itself, null doc_ids too.
+Null and empty texts are the end id alone; a very long text is as many full windows as it fills, and a rest; an empty table
+gives no pieces. Repeated rows are packed each for itself, null doc_ids too.
 """
 
 from __future__ import annotations

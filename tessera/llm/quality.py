@@ -6,7 +6,8 @@ sampled; the statistics are standardised, each class covariance is shrunk toward
 factor is computed once and goes to the executors. A score is the class posterior from the difference of the two Mahalanobis
 log densities.
 
-Null text is empty; empty texts are scored like any other. Labels that are null, or neither 0 nor 1, aren't learned from; a
+Null text is empty; empty texts are scored like any other, very long ones are measured whole; repeated rows are scored each,
+equal statistics alike; an empty table gives no rows. Labels that are null, or neither 0 nor 1, aren't learned from; a
 doc_id with several labels counts with each. Where a class has fewer than two rows, every score is the share of label 1 (a
 half, without any labels).
 """

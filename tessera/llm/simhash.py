@@ -57,7 +57,8 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
 
 
 def _mixed(h: np.ndarray, stream: int) -> np.ndarray:
-    """The hashes themselves for stream 0; else others made of them by a mixing function."""
+    """The hashes themselves for stream 0; else others made of them by the finaliser of SplitMix64 (Steele, Lea and Flood 2014),
+    whose constants these are."""
     if not stream:
         return h
     h = h + np.uint64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)

@@ -157,3 +157,102 @@ def test_license_query(spark):
     for doc, text in rows.items():
         assert {n for n, s in notices.items() if s in text} <= set(got[doc]["licenses"].split(","))
         assert bool(got[doc]["n_licenses"]) == any(s in text for s in notices.values())
+
+
+# --- the queries against plain versions
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain_statistics(text):
+    """Each statistic by its definition, character by character and word by word."""
+    raw = (text or "").encode()
+    share = lambda part, whole, usual, weight: np.log(p / (1 - p)) if (p := (part + weight * usual) / (whole + weight)) else None
+    white, marks = b" \t\n\r\x0b\x0c", b".,;:'\"-?()"
+    count = lambda test: sum(1 for b in raw if test(b))
+    lower, upper, digit = (count(lambda b, lo=lo, hi=hi: lo <= b <= hi) for lo, hi in ((97, 122), (65, 90), (48, 57)))
+    space, mark, other = count(lambda b: b in white), count(lambda b: b in marks), count(lambda b: b >= 128)
+    symbol = count(lambda b: b < 128 and b not in white and b not in marks and not chr(b).isalnum())
+    words, lines = raw.split(), raw.split(b"\n")
+    n, k, m = len(raw), len(words), len(lines)
+    triples = len({(words[i], words[i + 1], words[i + 2]) for i in range(k - 2)})
+    freq = [raw.count(bytes([b])) / n for b in set(raw)] if n else []
+    entropy = -sum(f * np.log(f) for f in freq)
+    odd = sum(1 for w in words if not (chr(w[-1]).isascii() and chr(w[-1]).isalnum() or w[-1] in b".,;:?)'\"" or w[-1] >= 128))
+    return [
+        np.log(n + 300), share(upper, upper + lower, 0.03, 100), share(mark, n, 0.02, 100), share(symbol, n, 0.005, 100), share(digit, n, 0.005, 100), share(space, n, 0.16, 100), share(other, n, 0.03, 100),
+        np.log((n - space + 100) / (k + 20)), share(k - len(set(words)), k, 0.1, 20), share(odd, k, 0.01, 20), share(max(k - 2 - triples, 0), max(k - 2, 0), 0.01, 20), np.log(n / m + 100),
+        share(m - len(set(lines)), m, 0.02, 5), (entropy * n + 2.9 * 200) / (n + 200), share(sum(len(w) <= 3 for w in words), k, 0.33, 20), share(sum(words[i] == words[i + 1] for i in range(k - 1)), max(k - 1, 0), 0.005, 20),
+    ]
+
+
+def test_quality_query_is_the_plain_version(spark):
+    """Statistics, classes and densities made again without the operator."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()]
+    x = {i: np.array(plain_statistics(t)) for i, t in texts.items()}
+    known = [(x[i], y) for i, y in labels if i in x and y in (0, 1) and crc(i) % 5]
+    rows, y = np.array([r for r, _ in known]), np.array([c for _, c in known])
+    mean, scale = rows.mean(0), rows.std(0)
+    logs = {}
+    for c in (0, 1):
+        z = (rows[y == c] - mean) / scale
+        cov = np.cov(z.T, bias=True)
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(mean) * np.eye(len(mean))
+        diff = (np.array(list(x.values())) - mean) / scale - z.mean(0)
+        logs[c] = np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.sum(diff @ np.linalg.inv(cov) * diff, axis=1)
+    want = dict(zip(x, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), strict=True))
+    got = quality.op9_quality(spark, SMALL).collect()
+    assert len(got) == len(texts)
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in got)
+
+
+def test_language_query_is_the_plain_version(spark):
+    """Pairs of symbols counted one by one, and votes of all machines taken one by one, for every document."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.fit(docs.where(~language.held_out()))
+
+    def symbol(b):
+        return 27 if b >= 0xC0 else 28 + (b & 31) if b >= 0x80 else ord(chr(b).lower()) - 96 if chr(b).isalpha() else 0
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        s = [symbol(b) for b in b" " + text.encode() + b" "]
+        pairs = {}
+        for a, b in zip(s, s[1:], strict=False):
+            if (a, b) != (0, 0):
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+        total = sum(pairs.values())
+
+        def choose(machines):
+            if not machines.pairs:
+                return machines.names[0], 1.0
+            votes, margins = {n: [0, 0.0] for n in machines.names}, {}
+            for j, (a, b) in enumerate(machines.pairs):
+                m = (sum(machines.w[j][p * 60 + q] * (c / total) ** 0.5 for (p, q), c in pairs.items()) + machines.b[j]) / machines.usual[j]
+                first, second = machines.names[a], machines.names[b]
+                votes[first if m > 0 else second][0] += 1
+                votes[first][1] += m
+                votes[second][1] -= m
+                margins[first, second] = m
+            best = max(sorted(votes), key=lambda n: votes[n])
+            least = min([m for (a, _), m in margins.items() if a == best] + [-m for (_, b), m in margins.items() if b == best])
+            return best, 1 / (1 + np.exp(-np.clip(4 * least, -50, 50)))
+
+        family, sure = choose(model.families)
+        lang, more = choose(model.within[model.families.names.index(family)])
+        return lang, sure * more
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.op4_language(spark, SMALL).collect()}
+    for r in docs.collect():
+        lang, score = plain(r["text"])
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-6
+
+
+def test_languages_are_bounded(spark, docs, monkeypatch):
+    """The most frequent languages are learned, the others aren't; equal rows count once."""
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    d = docs([(i, f"the cat and the dog {'x' * (i % 4)}") for i in range(20)] + [(7, "the cat")] * 50)
+    d = d.union(docs([(100 + i, f"der hund und die katze {'y' * (i % 4)}") for i in range(20)], "de")).union(docs([(200, "le chat"), (201, "le chien")], "fr"))
+    assert {r["lang_pred"] for r in language.language_id(d).collect()} == {"en", "de"}
