@@ -25,7 +25,7 @@ def one(spark, column):
 @given(st.lists(st.tuples(st.text("ab/é", min_size=1, max_size=9), st.integers(0, 300_000)), min_size=1, max_size=30, unique_by=lambda x: x[0]))
 def test_placement_is_the_loop(spark, parts):
     df = spark.createDataFrame([(n, "data", x) for n, x in parts], "name string, part string, length long")
-    got = {r["name"]: r["offset"] for r in layout.canonical_placement(df, prefix=3).collect()}
+    got = {r["name"]: r["offset"] for r in layout.canonical_placement(df).collect()}
     at = 65536
     for name, n in sorted(parts, key=lambda p: p[0].encode()):
         assert got[name] == at
@@ -140,3 +140,25 @@ def test_scale_blocks(spark):
     s = spark.createDataFrame([("a", 0, 128), ("a", 1, 255)], "name string, block long, code int")
     (_, x), (_, y) = rows(profiles.scale_blocks(e, s), "idx", "value")
     assert x == 3.0 and math.isnan(y)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60), st.integers(1, 9)), min_size=1, max_size=40, unique=True))
+def test_two_levels_are_the_loop(spark, rows):
+    """Sums and maxima before, and minima after, whatever buckets the order is cut into."""
+    df = spark.createDataFrame([("abc"[s], o, n) for s, o, n in rows], "store string, offset long, length long")
+    got = layout.prefix(df, {"total": ("sum", F.col("length")), "reach": ("max", F.col("offset") + F.col("length")), "next": ("min", F.col("offset"))}, ["offset", "length"], ["store"])
+    found = {(r["store"], r["offset"], r["length"]): (r["total"], r["reach"], r["next"]) for r in got.collect()}
+    for s in "abc":
+        mine = sorted((o, n) for t, o, n in rows if "abc"[t] == s)
+        for i, (o, n) in enumerate(mine):
+            before, after = mine[:i], mine[i + 1 :]
+            assert found[s, o, n] == (sum(x for _, x in before) if before else None, max((a + b for a, b in before), default=None), min((a for a, _ in after), default=None))
+
+
+def test_boundaries_cut_evenly(spark):
+    df = spark.range(50_000).select(F.concat(F.lit("doc/"), F.col("id").cast("string")).alias("name"))
+    bounds = layout.boundaries(df, "name")
+    sizes = [r["count"] for r in df.groupBy(layout.bucket_of(F.col("name"), bounds).alias("b")).count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 5 * 50_000 / len(sizes)
+    assert layout.boundaries(df, "name") == bounds

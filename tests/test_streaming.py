@@ -1,3 +1,4 @@
+import hashlib
 import time
 
 from pyspark.sql import functions as F
@@ -47,3 +48,24 @@ def test_windows_on_a_stream(spark, tmp_path):
     assert got == events.count()
     assert windows.sliding(events).agg(F.sum("n")).first()[0] == 2 * events.count()
     assert windows.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_sink_reports_short_parts_and_leaves_no_files(spark, tmp_path):
+    """Chunks out of turn and twice, a part that never ends; what was spooled goes."""
+    rows = [("a", "d", k, 3000, bytes([k]) * 1000) for k in (2, 0, 1, 0)] + [("c", "d", 0, 9, b"x"), ("e", "d", 0, 0, b"")]
+    schema = "name string, part string, seq long, declared long, content binary"
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    folder = tmp_path / "spool"
+    q = chunks.sink(stream, 3000, str(folder)).writeStream.format("memory").queryName("sunk2").outputMode("append").start()
+    try:
+        end = time.time() + 120
+        while spark.table("sunk2").count() < 3 and q.isActive and time.time() < end:
+            time.sleep(0.5)
+        got = {r["name"]: r for r in spark.table("sunk2").collect()}
+    finally:
+        q.stop()
+    assert {n: r["status"] for n, r in got.items()} == {"a": "complete", "c": "short", "e": "complete"} and got["c"]["written"] == 1
+    assert got["a"]["digest"] == "sha256:" + hashlib.sha256(b"".join(bytes([k]) * 1000 for k in range(3))).hexdigest()
+    assert not list(folder.iterdir())
