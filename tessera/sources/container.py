@@ -35,12 +35,15 @@ Read = Callable[[int, int], bytes]
 
 
 def file_reader(path: str) -> tuple[Read, int]:
-    """Ranges of a local file, opened for each so that the reader can be sent to a task."""
+    """Ranges of a local file, opened for each so that the reader can be sent to a task. A range that isn't whole is an error."""
 
     def read(at: int, n: int) -> bytes:
         with open(path, "rb") as f:
             f.seek(at)
-            return f.read(n)
+            got = f.read(n)
+        if len(got) != n:
+            raise InvalidInput(f"{path}: {n} bytes at {at} end beyond the file")
+        return got
 
     return read, os.path.getsize(path)
 
