@@ -66,7 +66,7 @@ def digest_of(pieces: bytes | Iterable[bytes], algorithm: str = "xxh3") -> str:
 def shard_identity(path: str, algorithm: str = "sha256") -> dict:
     """Size and digest of a whole file, a MiB at a time."""
     read, size = file_reader(path)
-    return {"size": size, "digest": digest_of((read(s, 1 << 20) for s in range(0, size, 1 << 20)), algorithm)}
+    return {"size": size, "digest": digest_of((read(s, min(1 << 20, size - s)) for s in range(0, size, 1 << 20)), algorithm)}
 
 
 # --- manifests --------------------------------------------------------------------------------------------------------------
