@@ -19,7 +19,7 @@ import xxhash
 
 from ..model import CANONICAL, FLOOR, MAX_NAME, MAX_RANK, U64_MAX, WIDTHS, InvalidInput, NotFound, Rejected, Unsupported
 from . import cbor
-from .vocabulary import Vocabulary, decode, decoded_size, product, standard
+from .vocabulary import Vocabulary, decode, product, standard
 
 # The signature, the footer's size, the version, the largest manifest, the label of a content digest.
 MAGIC = b"\x89ZT2\r\n\x1a\n"
