@@ -35,8 +35,8 @@ from .vectors import packed, unpacked, usable
 MIN_COSINE = 0.98
 #: Vectors, about, that the rotation is learned from.
 SAMPLE = 20_000
-#: Rows of a bucket's block.
-BLOCK_ROWS = 1024
+#: Rows of a bucket's block, at least and at most: a 64th of the classes in between. How rows are dealt to blocks changes no result.
+BLOCK_ROWS = (128, 2048)
 #: Tables of 16 bits each, flips of a class in one, and the budget of squared coordinates for them: a tenth of what two vectors
 #: at the least cosine differ by in 16 of their coordinates on average.
 TABLES, WIDTH, FLIPS, SPENT = 4, 16, 3, 0.1
@@ -240,7 +240,7 @@ def _met_in_blocks(rows: DataFrame, block_rows: int, *more: str) -> DataFrame:
     return keys.select(*_PLACE, "blk", "own", "node", "code", *more).repartition(*_PLACE).sortWithinPartitions(*_PLACE)
 
 
-def embedding_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample: int = SAMPLE, block_rows: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors."""
     label = vectors.schema["label"].dataType.simpleString()
     marked, _ = written(vectors.select("vec_id", "label", "embedding").mapInArrow(_classes, f"vec_id long, label {label}, d1 long, d2 long, d int, x binary"))
@@ -250,6 +250,7 @@ def embedding_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample:
     shared = F.broadcast(classes.groupBy("d1").count().where("count > 1").select("d1", F.lit(True).alias("twice")))
     node = F.when(F.col("twice"), F.xxhash64("d1", "d2")).otherwise(F.col("d1")).alias("node")
     classes = classes.join(shared, "d1", "left").select(node, "d1", "d2", "low", "w", "d", "grp", "x")
+    block_rows = block_rows or min(max(classes.count() // 64, BLOCK_ROWS[0]), BLOCK_ROWS[1])
     models = learn(classes, sample)
     coded, _ = written(classes.select("node", "grp", "w", "d", "x").mapInArrow(_coded(models, min_cosine), "node long, grp long, w long, d int, x binary, code long, margins binary"))
     places, _ = written(coded.select("grp", "node", "code", "margins").mapInArrow(_looked_up, "tab int, grp long, key long, own boolean, node long, code long"))
