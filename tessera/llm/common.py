@@ -71,6 +71,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, which cuts its lineage, and the table's path."""
     spark = df.sparkSession
     small_batches(spark)
+    pa.default_memory_pool().release_unused()  # what Arrow holds in the driver for nothing
     path = scratch_path(spark)
     schema = df.schema
     df.write.parquet(path)
@@ -140,10 +141,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+#: Groups over the limit that are broadcast; with more of them, rows and groups meet by a shuffle.
+BROADCAST_GROUPS = 100_000
+
+
 def block_counts(df: DataFrame, keys: list[str], limit: int, weight: Column | None = None) -> DataFrame:
-    """Adds _nb: in how many blocks of about `limit` rows (or weight) the group of keys is cut. All rows are counted."""
+    """Adds _nb: in how many blocks of about `limit` rows (or weight) the group of keys is cut. All rows are counted; only
+    counts are moved, unless there are very many large groups."""
     hot = df.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).where(F.col("_n") > limit)
-    hot = hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb"))
+    hot, _ = written(hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb")))
+    if hot.count() <= BROADCAST_GROUPS:
+        hot = F.broadcast(hot)
     return df.join(hot, keys, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
 
 
@@ -195,15 +203,21 @@ def components(edges: DataFrame) -> DataFrame:
     old = mark(e)
     while old[0]:
         both = e.union(e.select("b", "a"))
+        most = both.groupBy("a").count().agg(F.max("count")).first()[0]
+        hot = most > max(HOT_ROWS, 2 * old[0] // MOST_HOT)  # the joins are the same with and without
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = met(both, low, ["a"], "b", rows=2 * old[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large, large_path = written(large)
+        near = met(both, low, ["a"], "b", rows=2 * old[0]) if hot else both.join(low, "a")
+        large, large_path = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), None
+        if hot:
+            large, large_path = written(large)
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = met(large, low2, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low2).distinct()
+        near = met(large, low2, ["a"], "b") if hot else large.join(low2, "a")
+        small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low2).distinct()
         e, new_path = written(small)
         new = mark(e)
-        dropped(spark, path)
-        dropped(spark, large_path)
+        for gone in (path, large_path):
+            if gone:
+                dropped(spark, gone)
         path = new_path
         if new == old:
             break
