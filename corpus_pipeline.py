@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm import language, line_dedup, packing, quality, simhash
 from tessera.llm.common import dropped, read, scratch, written
 
+#: The corpus comes at once, so its lines come in few batches; how many there are changes no result.
+LINE_BATCHES = 3
 #: Language ID rejects `und`, and what it is less sure of than this.
 MIN_LANGUAGE_SCORE = 0.2
 
@@ -33,7 +35,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten or more of them have; n_chars follows the text."""
-    kept = line_dedup.without_frequent_lines(docs)
+    kept = line_dedup.without_frequent_lines(docs, n_batches=LINE_BATCHES, fanout=2)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         kept = kept.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
