@@ -263,11 +263,12 @@ UNION ALL SELECT source, name, 6, 'a shard table' FROM d WHERE doc_id % 47 = 0
 UNION ALL SELECT source, name, 5, 'name' FROM d WHERE doc_id % 53 = 0
 UNION ALL SELECT source, NULL, 1, 'manifest or footer' FROM s WHERE ascii(right(source, 1)) % 2 = 0""")
 def canonical_rules(spark, folder):
-    """Rules on digests, names, shards and the tail of each file, over placed parts of a page each."""
+    """Rules on digests, names, shards and the tail of each file, over placed parts of a page each. Contents are all different, so
+    each has a digest of its own, of either kind; two equal ones in a store would break rule 3."""
     every = lambda n: F.col("doc_id") % n == 0
     src = tables.read(spark, folder, "documents").select("doc_id", F.col("source").alias("store_id"), F.lit("data").alias("part"), F.lit(4096).cast("long").alias("length"))
     name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.when(every(53), "/é").otherwise(""))
-    digest = F.when(every(43), "sha256:00").otherwise(F.concat(F.lit("xxh3:"), F.lpad(F.hex("doc_id"), 16, "0")))
+    digest = F.when(every(43), F.concat(F.lit("sha256:"), F.lpad(F.hex("doc_id"), 64, "0"))).otherwise(F.concat(F.lit("xxh3:"), F.lpad(F.hex("doc_id"), 16, "0")))
     src = src.withColumn("name", name).withColumn("digest", digest).withColumn("encoding", F.when(every(41), "z")).withColumn("shard", F.when(every(47), "s"))
     placed = layout.with_normal_form(layout.canonical_placement(src, by=["store_id"]))
     ends = src.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))

@@ -44,6 +44,17 @@ def test_query(spark, db, name):
     assert got == want
 
 
+def test_canonical_rules_of_stores_with_more_rows(spark, tmp_path):
+    """Several documents of a store have digests of the wrong kind: that breaks rule 4 alone, and equal digests would break rule 3."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 2}", 6) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["canonical_rules"](spark, str(tmp_path)).select("store", "name", "rule", "detail").collect()]
+    assert sorted(got, key=repr) == sorted(own.execute(SQL["canonical_rules"]).fetchall(), key=repr)
+    assert sum(r[2] == 4 for r in got) == 19
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
