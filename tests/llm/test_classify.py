@@ -256,3 +256,18 @@ def test_languages_are_bounded(spark, docs, monkeypatch):
     d = docs([(i, f"the cat and the dog {'x' * (i % 4)}") for i in range(20)] + [(7, "the cat")] * 50)
     d = d.union(docs([(100 + i, f"der hund und die katze {'y' * (i % 4)}") for i in range(20)], "de")).union(docs([(200, "le chat"), (201, "le chien")], "fr"))
     assert {r["lang_pred"] for r in language.language_id(d).collect()} == {"en", "de"}
+
+
+def test_language_sample_comes_small(docs, monkeypatch):
+    """Of a learned text the driver gets what isn't zero of its vector, and learns the same machines as from whole vectors."""
+    texts = [(f"{w} {'a' * (i % 7)} {w[::-1]} {i % 11}", g) for i, (w, g) in enumerate([("der hund", "de"), ("the dog", "en"), ("el perro", "es")] * 30)]
+    d = docs([t for t, _ in texts]).withColumn("lang", F.element_at(F.array(*(F.lit(g) for _, g in texts)), (F.col("doc_id") + 1).cast("int")))
+    came, whole = [], type(d).toArrow
+    monkeypatch.setattr(type(d), "toArrow", lambda self: came.append(whole(self)) or came[-1])
+    got = language.fit(d)
+    (table,) = came
+    assert 0 < table.nbytes < 3600 * table.num_rows  # a vector has 3600 numbers of four bytes
+    rows = sorted({(g, language.vector(t.encode()).astype("<f4").tobytes()) for t, g in texts})
+    want = language.Hierarchy(np.array([np.frombuffer(x, "<f4") for _, x in rows]), np.array([g for g, _ in rows]))
+    for a, b in zip([got.families, *got.within], [want.families, *want.within], strict=True):
+        assert a.names == b.names and (a.w == b.w).all() and (a.b == b.b).all() and (a.usual == b.usual).all()
