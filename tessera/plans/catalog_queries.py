@@ -104,7 +104,8 @@ g AS (SELECT *, CASE WHEN x * b <= 18446744073709551615 THEN x * b END AS y FROM
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (CASE WHEN y * c <= 18446744073709551615 THEN y * c END)::VARCHAR AS n FROM g""")
 def shape_product(spark, folder):
     li = tables.read(spark, folder, "lineitem")
-    dims = F.array(*(c.cast(U64) for c in (F.col("l_partkey").cast(U64) * F.lit(10**15).cast(U64), F.col("l_suppkey") * 1000, F.col("l_linenumber") - 1)))
+    wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731 - a first dimension may lie beyond 64 bits: that is for the product to reject
+    dims = F.array(*(c.cast("decimal(38,0)") for c in (wide("l_partkey") * 10**15, wide("l_suppkey") * 1000, wide("l_linenumber") - 1)))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.num_elements(dims).cast("decimal(20,0)").cast("string").alias("n"))
 
 

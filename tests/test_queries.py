@@ -55,6 +55,26 @@ def test_canonical_rules_of_stores_with_more_rows(spark, tmp_path):
     assert sum(r[2] == 4 for r in got) == 19
 
 
+def against_sql(spark, folder, name, **tables):
+    """A query and its SQL over tables of a few rows, both sorted."""
+    own = duckdb.connect()
+    for table, rows in tables.items():
+        rows.write.parquet(f"{folder}/{table}.parquet")
+        own.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    found = own.execute(SQL[name])
+    columns = [c[0] for c in found.description]
+    got = [tuple(r) for r in QUERIES[name](spark, str(folder)).select(*columns).collect()]
+    return sorted(got, key=repr), sorted(found.fetchall(), key=repr)
+
+
+def test_shape_product_of_large_keys(spark, tmp_path):
+    """Parts from 100,000 on make a dimension of more digits than 64 bits have: its product is null, and no error."""
+    keys = [1, 9, 18446, 18447, 99999, 100000, 115083, 10**12]
+    rows = spark.createDataFrame([(k, n, p, s) for k, p in enumerate(keys) for n in (1, 2) for s in (0, 1, 7, 10**7)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    got, want = against_sql(spark, tmp_path, "shape_product", lineitem=rows)
+    assert got == want and any(r[-1] is None for r in got) and any(r[-1] not in (None, "0") for r in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
