@@ -92,10 +92,11 @@ def overlaps(blobs: DataFrame, by: str = "store_id") -> DataFrame:
     return prefix(refs, {"reach": ("max", F.col("offset") + F.col("length"))}, ["offset", "length"], [by]).where("reach > offset")
 
 
-def tiling_faults(blobs: DataFrame, by: str) -> DataFrame:
-    """Blobs that don't begin where the one before ends (the first: at zero)."""
+def tiling_faults(blobs: DataFrame, by: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Blobs that don't begin where the one before ends (the first: at zero). Of blobs with the same range all but the first are
+    faults; which one is first, the columns `ties` say."""
     last = F.struct("offset", "length")  # the greatest of those before is the one before
-    got = prefix(blobs, {"_p": ("max", last)}, ["offset", "length"], [by])
+    got = prefix(blobs, {"_p": ("max", last)}, ["offset", "length", *ties], [by])
     got = got.withColumn("expected", F.coalesce(F.col("_p.offset") + F.col("_p.length"), F.lit(0).cast("long"))).drop("_p")
     return got.where("offset <> expected")
 

@@ -205,11 +205,12 @@ def blob_overlap(spark, folder):
 w AS (SELECT *, coalesce(lag("offset" + length) OVER (PARTITION BY user_id ORDER BY "offset", length), 0) AS expected FROM b)
 SELECT user_id, event_id, "offset"::BIGINT AS "offset", expected::BIGINT AS expected FROM w WHERE "offset" <> expected""")
 def exact_tiling(spark, folder):
-    """Events as ranges that tile each user's section, a few of them moved by a byte."""
+    """Events as ranges that tile each user's section, a few of them moved by a byte. One of a byte then has the range of its
+    next, if that has a byte too: the earlier event is first, as in the SQL's order of rows."""
     size = F.col("event_id") % 7
     src = tables.read(spark, folder, "events").where(size > 0).withColumn("length", size)
     start = F.sum("length").over(Window.partitionBy("user_id").orderBy("event_id")) - F.col("length") + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)
-    return layout.tiling_faults(src.withColumn("offset", start), "user_id").select("user_id", "event_id", "offset", "expected")
+    return layout.tiling_faults(src.withColumn("offset", start), "user_id", ("event_id",)).select("user_id", "event_id", "offset", "expected")
 
 
 @query(f"""WITH {_BLOBS}, r AS (SELECT DISTINCT * FROM b WHERE length > 0),

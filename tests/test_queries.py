@@ -75,6 +75,23 @@ def test_shape_product_of_large_keys(spark, tmp_path):
     assert got == want and any(r[-1] is None for r in got) and any(r[-1] not in (None, "0") for r in got)
 
 
+def test_exact_tiling_of_equal_ranges(spark, tmp_path):
+    """An event of a byte that was moved onto the next of a byte: the later one is the fault, whatever order the rows come in."""
+    ids = [i for i in range(97 * 7 * 40) if i % 7 == 1 and (i % 97 == 0 or (i - 7) % 97 == 0)]
+    rows = spark.createDataFrame([(i, i // 97 % 5) for i in reversed(ids)], "event_id long, user_id long")
+    got, want = against_sql(spark, tmp_path, "exact_tiling", events=rows)
+    assert got == want and len(got) > 20
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_tiling_faults_of_ties(spark, step):
+    from tessera.operators import layout
+
+    rows = [(0, 0, 2, 10), *((0, 2, 1, k) for k in range(11, 51)), (0, 3, 5, 51)]
+    blobs = spark.createDataFrame(rows[::step], "store long, offset long, length long, id long").repartition(3, "id")
+    assert sorted(r["id"] for r in layout.tiling_faults(blobs, "store", ("id",)).collect()) == list(range(12, 51))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
