@@ -48,9 +48,9 @@ def _write(rows: DataFrame, path: str, **options: str) -> str:
 
 
 def _documents(spark: SparkSession, folder: str, path: str | None = None) -> str:
-    """All documents as u8 tensors of a native root with shards."""
+    """All documents as u8 tensors of a native root with a shard for each task that reads them; texts aren't shuffled."""
     rows = tables.document_blobs(spark, folder).select("name", "dtype", F.array("length").alias("shape"), "content")
-    return _write(rows.repartition(4, "name"), path or os.path.join(folder_of(spark), "documents.zt"))
+    return _write(rows, path or os.path.join(folder_of(spark), "documents.zt"))
 
 
 _DOCS = "d AS (SELECT doc_id, 'doc/' || doc_id AS name, octet_length(encode(coalesce(text, ''))) AS n, coalesce(text, '') AS t FROM documents)"
@@ -105,7 +105,7 @@ def file_index(spark, folder):
     """A row for each file of a folder: its format, objects, shards and attributes, without the tensors."""
     home = folder_of(spark)
     rows = tables.document_blobs(spark, folder).select("name", "dtype", F.array("length").alias("shape"), "content")
-    _write(rows.repartition(2, "name"), os.path.join(home, "d.zt"), attributes='{"made": "tables"}')
+    _write(rows, os.path.join(home, "d.zt"), attributes='{"made": "tables"}')
     _npz(spark, folder, os.path.join(home, "n.npz"))
     got = index(spark, [os.path.join(home, "d.zt"), os.path.join(home, "n.npz")])
     made = F.when(F.col("attributes").isNotNull(), F.try_variant_get(F.parse_json("attributes"), "$.made", "string"))
@@ -118,7 +118,7 @@ def file_attributes(spark, folder):
     src = tables.read(spark, folder, "embeddings")
     raw = src.select("vec_id", "embedding").mapInArrow(_as_bytes, "name string, shape array<long>, content binary")
     marks = src.select(F.concat(F.lit("emb/"), F.col("vec_id").cast("string")).alias("name"), F.to_json(F.struct("label")).alias("attributes"))
-    path = _write(raw.join(marks, "name").withColumn("dtype", F.lit("f32")).repartition(2), os.path.join(folder_of(spark), "e.zt"))
+    path = _write(raw.join(marks, "name").withColumn("dtype", F.lit("f32")), os.path.join(folder_of(spark), "e.zt"))
     got = TensorSet.read(spark, [path])
     return got.objects.select("name", F.variant_get(F.parse_json("attributes"), "$.label", "long").alias("label"), F.lit(True).alias("there"))
 
@@ -232,7 +232,7 @@ def file_diff(spark, folder):
     every = lambda n: F.col("doc_id") % n == 0
     hashed = src.withColumn("content", F.sha2("content", 256).cast("binary")).select("doc_id", "name", "dtype", F.array(F.lit(64).cast("long")).alias("shape"), "content")
     changed = hashed.withColumn("content", F.when(every(7), F.reverse(F.col("content").cast("string")).cast("binary")).otherwise(F.col("content")))
-    sets = [TensorSet.read(spark, [_write(rows.drop("doc_id").repartition(2, "name"), os.path.join(home, f"{k}.zt"))]) for k, rows in (("a", hashed.where(~every(13))), ("b", changed.where(every(13) | ~every(11))))]
+    sets = [TensorSet.read(spark, [_write(rows.drop("doc_id"), os.path.join(home, f"{k}.zt"))]) for k, rows in (("a", hashed.where(~every(13))), ("b", changed.where(every(13) | ~every(11))))]
     sides = [s.parts.select("name", "part", "digest").join(s.objects.select("name", F.col("shape").cast("string").alias("shape"), "layout"), "name") for s in sets]
     return catalog.diff(*sides).select("name", "change")
 

@@ -98,7 +98,9 @@ class TensorSet:
 
     def verify(self) -> DataFrame:
         """(name, part, status) by each digest's own algorithm; `other` where that isn't known."""
-        return identity.verify_any(self.parts.select("name", "part", "digest").join(self.bytes(), ["name", "part"]))
+        if self.blobs is None:
+            raise NotFound("this set has no bytes")
+        return identity.verify_any(self.parts.select("name", "part", "digest").join(self.blobs, ["name", "part"]))
 
     def merge(self, *others: TensorSet) -> TensorSet:
         """One namespace; a name in two sets is a collision, and store ids of later sets move up."""
