@@ -287,9 +287,17 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            names, found, held = [], [], 0
             for name, raw in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 x = np.frombuffer(raw, kind).astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(x)], names=["name", "value"])
+                names.append(pa.array([name] * len(x), pa.string()))
+                found.append(x)
+                held += len(x)
+                if held >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.array(np.concatenate(found))], names=["name", "value"])
+                    names, found, held = [], [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.array(np.concatenate(found))], names=["name", "value"])
 
     got = spark.read.format("tensorfile").option("path", path).option("relation", "blobs").load()
     return got.select("name", "content").mapInArrow(run, "name string, value double")
