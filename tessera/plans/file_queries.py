@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import CANONICAL
+from ..model import CANONICAL, InvalidInput
 from ..operators import catalog, identity, layout
 from ..sources import container, datasource, foreign
 from ..tensorset import TensorSet, index
 from . import tables
 
+#: Cells, about, of a block of rows of a sparse matrix: a block has the rows that begin within as many.
+BLOCK_CELLS = 1 << 16
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -131,31 +134,55 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @query("SELECT l_linenumber::BIGINT AS matrix, l_suppkey AS row, l_partkey AS col, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3")
 def file_csr(spark, folder):
-    """Sparse matrices of suppliers by parts, one for each line number, as objects of three parts: through the file and back."""
+    """Sparse matrices of suppliers by parts, one for each line number, in blocks of whole rows that are objects of three parts each:
+    through the file and back."""
     cells = tables.read(spark, folder, "lineitem").groupBy("l_linenumber", "l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-
-    def made(key, frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["l_suppkey", "l_partkey"])
-        rows, cols = int(frame["l_suppkey"].max()) + 1, int(frame["l_partkey"].max()) + 1
-        indptr = np.concatenate([[0], np.cumsum(np.bincount(frame["l_suppkey"], minlength=rows))])
-        parts = {"indptr": ("u64", indptr.astype("<u8")), "indices": ("u64", frame["l_partkey"].to_numpy().astype("<u8")), "values": ("f64", frame["q"].to_numpy().astype("<f8"))}
-        return pd.DataFrame([{"name": f"m/{key[0]}", "part": p, "dtype": d, "shape": [rows, cols], "layout": "zt.sparse_csr/1", "content": x.tobytes()} for p, (d, x) in parts.items()])
-
-    objects = cells.groupBy("l_linenumber").applyInPandas(made, "name string, part string, dtype string, shape array<long>, layout string, content binary")
-    path = _write(objects.repartition("name").sortWithinPartitions("name", "part"), os.path.join(folder_of(spark), "m.zt"))
-    parts = spark.read.format("tensorfile").option("path", path).option("relation", "blobs").load()
-    wide = parts.groupBy("name").agg(*(F.max(F.when(F.col("part") == p, F.col("content"))).alias(p) for p in ("indptr", "indices", "values")))
+    cells = cells.repartitionByRange("l_linenumber", "l_suppkey").sortWithinPartitions("l_linenumber", "l_suppkey", "l_partkey")
+    most = BLOCK_CELLS
+
+    def block(line, row, col, value):
+        first, n, cols = int(row[0]), int(row[-1] - row[0]) + 1, int(col.max()) + 1
+        indptr = np.concatenate([[0], np.cumsum(np.bincount(row - first, minlength=n))])
+        parts = {"indptr": ("u64", indptr.astype("<u8")), "indices": ("u64", col.astype("<u8")), "values": ("f64", value.astype("<f8"))}
+        made = [{"name": f"m/{line[0]}/{first}", "part": p, "dtype": d, "shape": [n, cols], "layout": "zt.sparse_csr/1", "content": x.tobytes()} for p, (d, x) in parts.items()]
+        return pa.RecordBatch.from_pylist(made, pa.schema({"name": pa.string(), "part": pa.string(), "dtype": pa.string(), "shape": pa.list_(pa.int64()), "layout": pa.string(), "content": pa.binary()}))
+
+    def made(batches):
+        """A task's cells come in order, whole rows of them: no more than a block and a batch are held."""
+        held = None
+        for batch in batches:
+            got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
+            line, row, begin = held[0], held[1], 0
+            for end in (np.flatnonzero((line[1:] != line[:-1]) | (row[1:] != row[:-1])) + 1).tolist():
+                if end - begin >= most or line[end] != line[begin]:
+                    yield block(*(x[begin:end] for x in held))
+                    begin = end
+            held = [x[begin:] for x in held]
+        if held is not None and len(held[0]):
+            yield block(*held)
+
+    objects = cells.mapInArrow(made, "name string, part string, dtype string, shape array<long>, layout string, content binary")
+    path = _write(objects, os.path.join(folder_of(spark), "m.zt"))  # the parts of an object are rows in a row
+    parts = spark.read.format("tensorfile").option("path", path).option("relation", "blobs").load().select("name", "part", "content")
 
     def back(batches):
+        held: dict[str, dict[str, bytes]] = {}  # a reader gives the parts of an object in a row, but not in one batch
         for batch in batches:
-            for r in batch.to_pylist():
-                indptr, indices, values = (np.frombuffer(r[c], k) for c, k in (("indptr", "<u8"), ("indices", "<u8"), ("values", "<f8")))
-                row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr).astype(int))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), int(r["name"][2:]))), pa.array(row), pa.array(indices.astype(np.int64)), pa.array(values)], names=["matrix", "row", "col", "value"])
-
-    return wide.mapInArrow(back, "matrix long, row long, col long, value double")
+            for name, part, content in zip(*(batch.column(c) for c in ("name", "part", "content")), strict=True):
+                own = held.setdefault(name.as_py(), {})
+                own[part.as_py()] = content.as_py()
+                if len(own) < 3:
+                    continue
+                indptr, indices, values = (np.frombuffer(own[c], k) for c, k in (("indptr", "<u8"), ("indices", "<u8"), ("values", "<f8")))
+                _, matrix, first = name.as_py().split("/")
+                del held[name.as_py()]
+                row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr).astype(int)) + int(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), int(matrix))), pa.array(row), pa.array(indices.astype(np.int64)), pa.array(values)], names=["matrix", "row", "col", "value"])
+        if held:
+            raise InvalidInput(f"{next(iter(held))} lacks a part")
+
+    return parts.mapInArrow(back, "matrix long, row long, col long, value double")
 
 
 @query("SELECT 'doc/' || doc_id AS name, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id = 7")

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import catalog_queries, file_queries, spark_native
 
@@ -92,6 +93,18 @@ def test_tiling_faults_of_ties(spark, step):
     assert sorted(r["id"] for r in layout.tiling_faults(blobs, "store", ("id",)).collect()) == list(range(12, 51))
 
 
+def test_file_csr_by_blocks(spark, tmp_path, monkeypatch):
+    """Matrices are cut into blocks of rows of bounded size; a row that has more cells is a block by itself."""
+    cells = [(n, s * 3 + 5, p, float(s + p)) for n in (1, 2) for s in range(40) for p in range(1 + s % 5 + (300 if s == 17 else 0))]
+    rows = spark.createDataFrame([*cells, *cells[::2]], "l_linenumber int, l_suppkey long, l_partkey long, l_quantity double")
+    monkeypatch.setattr(file_queries, "BLOCK_CELLS", 20, raising=False)
+    names = set()
+    write = file_queries._write
+    monkeypatch.setattr(file_queries, "_write", lambda rows, *a, **k: (names.update((r["name"], r["n"]) for r in rows.select("name", (F.length("content") / 8).alias("n"), "part").where("part = 'values'").collect()), write(rows, *a, **k))[1])
+    got, want = against_sql(spark, tmp_path, "file_csr", lineitem=rows)
+    assert got == want and len(names) > 10 and sorted(n for _, n in names)[-3] <= 25
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
